@@ -80,14 +80,16 @@ def levels(
     k_from: int,
     ks: Sequence[int],
     bitmap: bool = False,
+    regroup: bool = False,
 ) -> DataFrame:
     """Cells re-expressed at every precision of ``ks``, tagged with column ``k``.
 
     With ``bitmap`` the pseudo level 0 carries the Probabilistic Counting bitmap, one row
-    per key.  Work is proportional to the cells, never to the raw rows.
+    per key.  Work is proportional to the cells, never to the raw rows.  ``regroup`` says
+    that ``keys`` are coarser than those of the cells, so even a single level has to merge.
     """
     wanted = sorted(set(ks))
-    if wanted == [k_from] and not bitmap:
+    if wanted == [k_from] and not bitmap and not regroup:
         return cell_rows.withColumn("k", F.lit(k_from))
     all_levels = ([BITMAP_LEVEL] if bitmap else []) + wanted
     unfolded = cell_rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in all_levels])))
