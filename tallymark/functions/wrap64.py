@@ -94,5 +94,12 @@ class Chain:
         return F.col(name)
 
     def finish(self, out: str, expression: Column) -> DataFrame:
+        """The frame with column ``out`` and without the helpers.
+
+        The result passes through a one-element ``explode``: a later filter on ``out`` then
+        stays above it.  Pushed down through the chain, it would be rewritten in terms of
+        the input with every shared intermediate copied at every use, which grows
+        exponentially.
+        """
         kept = [c for c in self.df.columns if c not in set(self._names) and c != out]
-        return self.df.select(*kept, expression.alias(out))
+        return self.df.select(*kept, F.explode(F.array(expression)).alias(out))
