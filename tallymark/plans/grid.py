@@ -27,7 +27,7 @@ CONTEXT_COLUMNS = (
 
 def experiment_grid(
     spark: SparkSession,
-    ns: Sequence[int] = DEFAULT_N,
+    ns: Sequence[int] | DataFrame = DEFAULT_N,
     ratios: Sequence[float] = DEFAULT_RATIOS,
     seeds: Sequence[int] = DEFAULT_SEEDS,
     params: Sequence[str] = ("",),
@@ -35,16 +35,20 @@ def experiment_grid(
 ) -> DataFrame:
     """``n, d, seed, params, hash``: every combination, each d once per n.
 
-    d is ``n * ratio`` rounded half to even and kept within [1, n].
+    d is ``n * ratio`` rounded half to even and kept within [1, n].  ``ns`` may be a frame
+    with a column ``n``, for instance the sizes of the groups of a table.
     """
     for ratio in ratios:
         if not 0.0 < ratio <= 1.0:
             raise ValueError(f"a ratio of distinct values lies in (0, 1], not {ratio}")
-    for n in ns:
-        if n < 1:
+    if isinstance(ns, DataFrame):
+        sizes = ns.select(F.col("n").cast("bigint")).where(F.col("n") >= 1).distinct()
+    else:
+        if any(n < 1 for n in ns):
             raise ValueError("a stream has at least one element")
+        sizes = local_frame(spark, [(n,) for n in ns], "n bigint")
     axes = [
-        local_frame(spark, [(n,) for n in ns], "n bigint"),
+        sizes,
         local_frame(spark, [(float(r),) for r in ratios], "ratio double"),
         local_frame(spark, [(s,) for s in seeds], "seed bigint"),
         local_frame(spark, [(p,) for p in params], "params string"),
