@@ -51,7 +51,7 @@ class HashChoice:
 
 def _splitmix64(df: DataFrame, value: str, seed: int, out: str) -> DataFrame:
     chain = w.Chain(df, out)
-    z = chain.let(w.add_const(F.col(value), SPLITMIX_GAMMA))
+    z = chain.let(w.add_const(f"`{value}`", SPLITMIX_GAMMA))
     z = chain.let(w.xor_shift(z, 30))
     z = chain.let(w.mul_const(z, SPLITMIX_MUL_1))
     z = chain.let(w.xor_shift(z, 27))
@@ -92,7 +92,7 @@ def _xxhash64(df: DataFrame, value: str, seed: int, out: str) -> DataFrame:
     return df.withColumn(out, F.xxhash64(w.long_lit(xx_seed_preimage(seed)), column))
 
 
-def _fmix64(chain: w.Chain, h: Column) -> Column:
+def _fmix64(chain: w.Chain, h: str) -> str:
     h = chain.let(w.xor_shift(h, 33))
     h = chain.let(w.mul_const(h, MURMUR_FMIX_1))
     h = chain.let(w.xor_shift(h, 33))
@@ -104,16 +104,16 @@ def _murmurhash3(df: DataFrame, value: str, seed: int, out: str) -> DataFrame:
     """128-bit x64 shape fed with one 8-byte word through the block step; returns h1."""
     seed &= 0xFFFFFFFF
     chain = w.Chain(df, out)
-    k = chain.let(w.mul_const(F.col(value), MURMUR_C1))
+    k = chain.let(w.mul_const(f"`{value}`", MURMUR_C1))
     k = chain.let(w.rotate_left(k, 31))
     k = chain.let(w.mul_const(k, MURMUR_C2))
-    h1 = chain.let(k.bitwiseXOR(w.long_lit(seed)))
+    h1 = chain.let(w.xor(k, w.literal(seed)))
     h1 = chain.let(w.rotate_left(h1, 27))
     h1 = chain.let(w.add_const(h1, seed))
     h1 = chain.let(w.mul_const(h1, 5))
     h1 = chain.let(w.add_const(h1, MURMUR_ADD))
     h2 = seed ^ 8
-    h1 = chain.let(h1.bitwiseXOR(F.lit(8)))
+    h1 = chain.let(w.xor(h1, w.literal(8)))
     h1 = chain.let(w.add_const(h1, h2))
     h2 = chain.let(w.add_const(h1, h2))
     h1 = _fmix64(chain, h1)
@@ -125,30 +125,28 @@ def _siphash24(df: DataFrame, value: str, seed: int, out: str) -> DataFrame:
     """SipHash-2-4 of the 8 value bytes under the fixed 16-byte key 00 01 .. 0f."""
     chain = w.Chain(df, out)
     keys = (SIP_KEY_0, SIP_KEY_1, SIP_KEY_0, SIP_KEY_1)
-    state = [w.long_lit(init ^ key) for init, key in zip(SIP_INIT, keys)]
+    state = [w.literal(init ^ key) for init, key in zip(SIP_INIT, keys)]
 
     def rounds(count: int) -> None:
         for _ in range(count):
             a = chain.let(w.add(state[0], state[1]))
-            b = chain.let(w.rotate_left(state[1], 13).bitwiseXOR(a))
+            b = chain.let(w.xor(w.rotate_left(state[1], 13), a))
             c = chain.let(w.add(state[2], state[3]))
-            d = chain.let(w.rotate_left(state[3], 16).bitwiseXOR(c))
-            a = chain.let(w.rotate_left(a, 32))
-            a = chain.let(w.add(a, d))
-            d = chain.let(w.rotate_left(d, 21).bitwiseXOR(a))
+            d = chain.let(w.xor(w.rotate_left(state[3], 16), c))
+            a = chain.let(w.add(w.rotate_left(a, 32), d))
+            d = chain.let(w.xor(w.rotate_left(d, 21), a))
             c = chain.let(w.add(c, b))
-            b = chain.let(w.rotate_left(b, 17).bitwiseXOR(c))
+            b = chain.let(w.xor(w.rotate_left(b, 17), c))
             c = chain.let(w.rotate_left(c, 32))
             state[:] = [a, b, c, d]
 
-    for block in (F.col(value), w.long_lit(8 << 56)):
-        state[3] = chain.let(state[3].bitwiseXOR(block))
+    for block in (f"`{value}`", w.literal(8 << 56)):
+        state[3] = chain.let(w.xor(state[3], block))
         rounds(2)
-        state[0] = chain.let(state[0].bitwiseXOR(block))
-    state[2] = chain.let(state[2].bitwiseXOR(F.lit(0xFF)))
+        state[0] = chain.let(w.xor(state[0], block))
+    state[2] = chain.let(w.xor(state[2], w.literal(0xFF)))
     rounds(4)
-    folded = state[0].bitwiseXOR(state[1]).bitwiseXOR(state[2]).bitwiseXOR(state[3])
-    return chain.finish(out, folded)
+    return chain.finish(out, w.xor(w.xor(state[0], state[1]), w.xor(state[2], state[3])))
 
 
 _REGISTRY: dict[str, HashBuilder] = {

@@ -4,9 +4,11 @@ Spark's ANSI mode raises on BIGINT overflow, and the session setting is not ours
 change.  Additions and multiplications are therefore put together from 32- and 16-bit
 limbs whose intermediate results stay below 2**63; shifts, AND, OR and XOR never raise.
 
-A value that is used more than once should be bound to a column of its own first
-(:class:`Chain`), so that the optimizer keeps one copy of it instead of inlining the
-whole history into every use.
+The helpers return SQL expression text: one parse per step is much cheaper on the driver
+than building the same tree from Column objects.  Operands are column names or literals; a
+value that is used more than once is bound to a column of its own first (:class:`Chain`),
+so that the optimizer keeps one copy of it instead of inlining the whole history into every
+use.
 """
 
 from __future__ import annotations
@@ -29,54 +31,58 @@ def long_lit(value: int) -> Column:
     return F.lit(signed(value)).cast("bigint")
 
 
-def xor(a: Column, b: Column) -> Column:
-    return a.bitwiseXOR(b)
+def literal(value: int) -> str:
+    return f"({signed(value)}L)"
 
 
-def xor_shift(a: Column, bits: int) -> Column:
-    return a.bitwiseXOR(F.shiftrightunsigned(a, bits))
+def xor(a: str, b: str) -> str:
+    return f"({a} ^ {b})"
 
 
-def rotate_left(a: Column, bits: int) -> Column:
-    return F.shiftleft(a, bits).bitwiseOR(F.shiftrightunsigned(a, 64 - bits))
+def xor_shift(a: str, bits: int) -> str:
+    return f"({a} ^ shiftrightunsigned({a}, {bits}))"
 
 
-def add(a: Column, b: Column) -> Column:
-    """``a + b`` modulo 2**64; both should be plain column references or literals."""
-    low = a.bitwiseAND(F.lit(_M32)) + b.bitwiseAND(F.lit(_M32))
-    high = (
-        F.shiftrightunsigned(a, 32)
-        + F.shiftrightunsigned(b, 32)
-        + F.shiftrightunsigned(low, 32)
+def rotate_left(a: str, bits: int) -> str:
+    return f"(shiftleft({a}, {bits}) | shiftrightunsigned({a}, {64 - bits}))"
+
+
+def _joined(high: str, low: str) -> str:
+    return (
+        f"(shiftleft({high} + shiftrightunsigned({low}, 32), 32) | ({low} & {_M32}))"
     )
-    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_M32)))
 
 
-def add_const(a: Column, constant: int) -> Column:
-    return add(a, long_lit(constant))
+def add(a: str, b: str) -> str:
+    """``a + b`` modulo 2**64."""
+    low = f"(({a} & {_M32}) + ({b} & {_M32}))"
+    return _joined(f"shiftrightunsigned({a}, 32) + shiftrightunsigned({b}, 32)", low)
 
 
-def mul_const(a: Column, constant: int) -> Column:
-    """``a * constant`` modulo 2**64 for a plain column reference ``a``."""
+def add_const(a: str, constant: int) -> str:
     constant &= MASK64
-    c_low, c_high = constant & _M32, constant >> 32
-    a0 = a.bitwiseAND(F.lit(_M16).cast("bigint"))
-    a1 = F.shiftrightunsigned(a, 16).bitwiseAND(F.lit(_M16).cast("bigint"))
-    a2 = F.shiftrightunsigned(a, 32).bitwiseAND(F.lit(_M16).cast("bigint"))
-    a3 = F.shiftrightunsigned(a, 48)
-    first = a0 * long_lit(c_low)
-    second = a1 * long_lit(c_low) + F.shiftrightunsigned(first, 16)
-    high = (
-        F.shiftrightunsigned(second, 16)
-        + a0 * long_lit(c_high)
-        + F.shiftleft(a1 * long_lit(c_high & _M16), 16)
-        + a2 * long_lit(c_low)
-        + F.shiftleft(a3 * long_lit(c_low & _M16), 16)
-    )
-    low = F.shiftleft(second.bitwiseAND(F.lit(_M16)), 16).bitwiseOR(
-        first.bitwiseAND(F.lit(_M16))
+    low = f"(({a} & {_M32}) + {constant & _M32}L)"
+    return _joined(f"shiftrightunsigned({a}, 32) + {constant >> 32}L", low)
+
+
+def mul_const(a: str, constant: int) -> str:
+    """``a * constant`` modulo 2**64."""
+    constant &= MASK64
+    low, high = constant & _M32, constant >> 32
+    # 16-bit limbs of a; limb products with 32-bit halves stay below 2**48.
+    a0 = f"({a} & {_M16}L)"
+    a1 = f"(shiftrightunsigned({a}, 16) & {_M16}L)"
+    a2 = f"(shiftrightunsigned({a}, 32) & {_M16}L)"
+    a3 = f"shiftrightunsigned({a}, 48)"
+    first = f"({a0} * {low}L)"
+    second = f"({a1} * {low}L + shiftrightunsigned({first}, 16))"
+    upper = (
+        f"(shiftrightunsigned({second}, 16) + {a0} * {high}L"
+        f" + shiftleft({a1} * {high & _M16}L, 16)"
+        f" + {a2} * {low}L + shiftleft({a3} * {low & _M16}L, 16))"
     )
-    return F.shiftleft(high, 32).bitwiseOR(low)
+    lower = f"(shiftleft({second} & {_M16}L, 16) | ({first} & {_M16}L))"
+    return f"(shiftleft({upper}, 32) | {lower})"
 
 
 class Chain:
@@ -87,13 +93,14 @@ class Chain:
         self._prefix = f"__{prefix}_"
         self._names: list[str] = []
 
-    def let(self, expression: Column) -> Column:
+    def let(self, expression: str) -> str:
+        """Bind an expression and return the name of its column."""
         name = f"{self._prefix}{len(self._names)}"
         self._names.append(name)
-        self.df = self.df.withColumn(name, expression)
-        return F.col(name)
+        self.df = self.df.selectExpr("*", f"{expression} AS `{name}`")
+        return f"`{name}`"
 
-    def finish(self, out: str, expression: Column) -> DataFrame:
+    def finish(self, out: str, expression: str) -> DataFrame:
         """The frame with column ``out`` and without the helpers.
 
         The result passes through a one-element ``explode``: a later filter on ``out`` then
@@ -102,4 +109,4 @@ class Chain:
         exponentially.
         """
         kept = [c for c in self.df.columns if c not in set(self._names) and c != out]
-        return self.df.select(*kept, F.explode(F.array(expression)).alias(out))
+        return self.df.select(*kept, F.explode(F.array(F.expr(expression))).alias(out))

@@ -28,7 +28,7 @@ def run_seed(seed: int, run: int) -> int:
 def with_run_seed(df: DataFrame, run: str, seed: int, out: str = "run_seed") -> DataFrame:
     """The same per row, carried in a BIGINT."""
     chain = w.Chain(df, out)
-    key = chain.let(F.col(run).cast("bigint"))
+    key = chain.let(f"cast(`{run}` as bigint)")
     scaled = chain.let(w.mul_const(key, RUN_FACTOR))
     return chain.finish(out, w.add_const(scaled, seed * SEED_FACTOR))
 
@@ -43,14 +43,13 @@ def permute(
     ``size`` and ``key`` are columns, so every run may have its own.
     """
     chain = w.Chain(df, out)
-    at = chain.let(F.col(x).cast("bigint"))
+    at = chain.let(f"cast(`{x}` as bigint)")
     for i in range(rounds):
-        mark = F.lit(salt * 1000 + i).cast("bigint")
-        pivot = F.pmod(F.xxhash64(F.col(key), mark), F.col(size))
-        partner = chain.let(F.pmod(pivot - at, F.col(size)))
-        larger = F.greatest(at, partner)
-        bit = F.xxhash64(F.col(key), F.lit(-1).cast("bigint"), mark, larger).bitwiseAND(F.lit(1))
-        at = chain.let(F.when(bit == 1, partner).otherwise(at))
+        mark = f"{salt * 1000 + i}L"
+        pivot = f"pmod(xxhash64(`{key}`, {mark}), `{size}`)"
+        partner = chain.let(f"pmod({pivot} - {at}, `{size}`)")
+        bit = f"xxhash64(`{key}`, -1L, {mark}, greatest({at}, {partner})) & 1L"
+        at = chain.let(f"if(({bit}) = 1, {partner}, {at})")
     return chain.finish(out, at)
 
 
