@@ -142,16 +142,16 @@ def reduce_precision(
         F.lit(f"cannot reduce to precision {target} from "),
         F.coalesce(F.col("k").cast("string"), F.lit("a sketch without precision")),
     )
-    k_from = F.when(bad, F.raise_error(message).cast("int")).otherwise(F.col("k"))
+    passed = F.when(bad, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
     same = F.col("k") == target
     # From sparse resolution first to the sketch's own precision, then to the target.
     own_idx = b.reduced_idx(F.col("idx"), F.col("res"), F.col("k"))
     own_rho = b.reduced_rho(F.col("idx"), F.col("rho"), F.col("res"), F.col("k"))
-    staged = sketches.withColumns({"__k": k_from, "__idx": own_idx, "__rho": own_rho})
+    staged = sketches.where(passed).withColumns({"__idx": own_idx, "__rho": own_rho})
     lowered_rho = (
         F.col("__rho")
         if naive
-        else b.reduced_rho(F.col("__idx"), F.col("__rho"), F.col("__k"), F.lit(target))
+        else b.reduced_rho(F.col("__idx"), F.col("__rho"), F.col("k"), F.lit(target))
     )
     projected = staged.select(
         *keys,
@@ -162,7 +162,7 @@ def reduce_precision(
         "l",
         F.when(same, F.col("res")).otherwise(F.lit(target)).alias("res"),
         F.when(same, F.col("idx"))
-        .otherwise(b.reduced_idx(F.col("__idx"), F.col("__k"), F.lit(target)))
+        .otherwise(b.reduced_idx(F.col("__idx"), F.col("k"), F.lit(target)))
         .alias("idx"),
         F.when(same, F.col("rho")).otherwise(lowered_rho).alias("rho"),
     )
