@@ -44,4 +44,5 @@ def null_safe_join(
     for i, key in enumerate(keys):
         same = F.col(key).eqNullSafe(F.col(f"__right_{key}"))
         condition = same if i == 0 else condition & same
-    return left.join(renamed, condition, how).drop(*[f"__right_{key}" for key in keys])
+    joined = left.join(renamed, condition, how)
+    return joined if how.startswith("left_") else joined.drop(*[f"__right_{k}" for k in keys])

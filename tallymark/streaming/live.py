@@ -2,7 +2,7 @@
 
 A register sketch is a maximum per (key, register), which Structured Streaming keeps as
 ordinary aggregation state: at most ``2**k`` rows per key, however long the stream.  In
-update mode a trigger emits only the registers that rose.  Because a maximum is idempotent,
+update mode a trigger emits the registers it touched.  Because a maximum is idempotent,
 replayed input and repeated messages change nothing.
 """
 
@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallymark.functions.bias import BiasPoints
+from tallymark.functions.local import null_safe_join
 from tallymark.operators.sketches import (
     IDENTITY,
     build_sketches,
@@ -45,9 +47,10 @@ def live_union(messages: DataFrame, by: Sequence[str]) -> DataFrame:
 class SketchLog:
     """A sketch table that grows by the registers that rose in each trigger.
 
-    Every trigger owns one folder, so a repeated trigger overwrites its own output.  A
-    register rises about log2(n) times at most, which bounds the log per key; reading it is
-    a maximum per register.
+    Every trigger owns one folder, so a repeated trigger overwrites its own output.  Touched
+    registers are compared with the log before the trigger and only risen ones are kept.  A
+    rank can rise at most 61 times, and log2(n) times on average, which bounds the log per
+    register whatever the length of the stream; :meth:`compact` brings it back to one row.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str]):
@@ -58,8 +61,28 @@ class SketchLog:
     def _folder(self, table: str, batch_id: int) -> str:
         return f"{self.root}/{table}/batch_id={batch_id}"
 
-    def put(self, changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(self._folder("registers", batch_id))
+    def _before(self, batch_id: int) -> DataFrame | None:
+        """The sketch table as of the start of a trigger; None for an empty log."""
+        try:
+            rows = self.spark.read.parquet(f"{self.root}/registers")
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        earlier = rows.where(F.col("batch_id") < batch_id).drop("batch_id")
+        return merge_sketches(earlier, self.keys, verify=False)
+
+    def put(self, touched: DataFrame, batch_id: int) -> None:
+        """Add the registers of one trigger that are higher than in the log so far."""
+        before = self._before(batch_id)
+        risen = touched
+        if before is not None:
+            on = [*self.keys, *IDENTITY, "idx"]
+            known = before.withColumnRenamed("rho", "__old")
+            joined = null_safe_join(touched, known, on, "left")
+            risen = joined.where(F.col("__old").isNull() | (F.col("rho") > F.col("__old")))
+            risen = risen.select(*touched.columns)
+        risen.write.mode("overwrite").parquet(self._folder("registers", batch_id))
 
     def sketches(self) -> DataFrame:
         """The current sketch table."""
@@ -67,19 +90,14 @@ class SketchLog:
         return merge_sketches(rows, self.keys, verify=False)
 
     def snapshot(self, batch_id: int, **options) -> None:
-        """Estimate the keys touched by one trigger and store them under its id."""
+        """Estimate the keys that changed in one trigger and store them under its id."""
         rows = self.spark.read.parquet(f"{self.root}/registers").where(
             F.col("batch_id") <= batch_id
         )
         if self.keys:
-            touched = self.spark.read.parquet(self._folder("registers", batch_id))
-            touched = touched.select(*self.keys).distinct()
-            same = None
-            renamed = touched.withColumnsRenamed({key: f"__t_{key}" for key in self.keys})
-            for key in self.keys:
-                part = F.col(key).eqNullSafe(F.col(f"__t_{key}"))
-                same = part if same is None else same & part
-            rows = rows.join(renamed, same, "left_semi")
+            risen = self.spark.read.parquet(self._folder("registers", batch_id))
+            risen = risen.select(*self.keys).distinct()
+            rows = null_safe_join(rows, risen, self.keys, "left_semi")
         current = merge_sketches(rows.drop("batch_id"), self.keys, verify=False)
         estimates = estimate_sketches(current, self.keys, **options)
         estimates.write.mode("overwrite").parquet(self._folder("estimates", batch_id))
@@ -122,8 +140,8 @@ def maintain(
     log = SketchLog(spark, root, keys)
     ks = [spec.k]
 
-    def on_trigger(changed: DataFrame, batch_id: int) -> None:
-        log.put(changed, batch_id)
+    def on_trigger(touched: DataFrame, batch_id: int) -> None:
+        log.put(touched, batch_id)
         log.snapshot(
             batch_id, mode=mode, ks=ks, algorithms=[spec.algo], bias_points=bias_points
         )

@@ -22,8 +22,9 @@ from tallymark.sources.generators import (
 from tallymark.sources.run_files import RunFileError, read_index, read_run_files
 
 
-def write_runs(path, runs, n, d, seed, **broken):
+def write_runs(path, runs, n, d, seed, broken=None, **more):
     """A run file for tests; ``broken`` overrides header fields or blocks."""
+    broken = {**(broken or {}), **more}
     head = struct.Struct("<8sIQQQQ")
     entry = struct.Struct("<QQQQQQIII")
     at = head.size + entry.size * len(runs)
@@ -88,7 +89,7 @@ def test_empty_and_odd_lengths(spark, tmp_path):
 )
 def test_broken_headers(tmp_path, broken):
     path = tmp_path / "broken.bin"
-    write_runs(path, [[1, 2, 3]], 3, 3, 1, **broken)
+    write_runs(path, [[1, 2, 3]], 3, 3, 1, broken)
     with pytest.raises(RunFileError):
         read_index(str(path))
 
