@@ -147,20 +147,27 @@ def merge_eval(
     return named.select(*MERGE_COLUMNS, "hash", "hash_seed")
 
 
-def _ingredients(cases: Sequence[MergeCase], contexts: dict, mode: str) -> list[tuple]:
-    """Which cells enter which sketch of which case, and at which precisions.
+def _recipes(
+    cases: Sequence[MergeCase], contexts: dict, mode: str
+) -> tuple[list[tuple], list[tuple]]:
+    """Which sketches the cases need, and which cells enter each of them.
 
-    Rows ``(case_id, role, side, hash_id, mid_k, to_k, naive, est_k, sparse)``: cells of
-    ``side`` under ``hash_id`` are taken to ``mid_k`` properly, then to ``to_k``, properly
-    or naively.  Sketches that the format rule applies to stay at the sparse precision.
+    A sketch is described by its ingredients ``(side, hash_id, mid_k, to_k, naive, est_k,
+    sparse)``: cells of ``side`` under ``hash_id`` are taken to ``mid_k`` properly, then to
+    ``to_k``, properly or naively; ``sparse`` ones stay at precision 25 for the format rule.
+    Equal descriptions are one sketch, however many cases and roles refer to it.  Returns
+    rows ``(sketch_id, *ingredient)`` and rows ``(case_id, role, sketch_id)``.
     """
-    rows = []
+    known: dict[tuple, int] = {}
+    uses = []
 
-    def put(case_id, role, side, context, mid_k, to_k, naive, as_is) -> None:
-        keep_codes = as_is and mode != "dense"
-        at = SPARSE_PRECISION if keep_codes else mid_k
-        to = SPARSE_PRECISION if keep_codes else to_k
-        rows.append((case_id, role, side, contexts[context], at, to, naive, to_k, keep_codes))
+    def ingredient(side, context, mid_k, to_k, naive, as_is) -> tuple:
+        codes = as_is and mode != "dense"
+        at, to = (SPARSE_PRECISION, SPARSE_PRECISION) if codes else (mid_k, to_k)
+        return (side, contexts[context], at, to, naive and at != to, to_k, codes)
+
+    def use(case_id, role, *ingredients) -> None:
+        uses.append((case_id, role, known.setdefault(ingredients, len(known))))
 
     for case_id, case in enumerate(cases):
         left = (case.left_hash, case.left_hash_seed)
@@ -170,13 +177,17 @@ def _ingredients(cases: Sequence[MergeCase], contexts: dict, mode: str) -> list[
         if case.strategy != "reject":
             naive = case.strategy == "unsafe_naive_merge" and recoverable
             as_is = not recoverable
-            put(case_id, "merge", 0, left, case.left_k, target, naive, as_is)
-            put(case_id, "merge", 1, right, case.right_k, target, naive, as_is)
+            use(
+                case_id,
+                "merge",
+                ingredient(0, left, case.left_k, target, naive, as_is),
+                ingredient(1, right, case.right_k, target, naive, as_is),
+            )
         serial_k = target if recoverable else case.left_k
-        for side in (0, 1):
-            put(case_id, "serial", side, left, serial_k, serial_k, False, True)
-            put(case_id, "baseline", side, left, target, target, False, True)
-    return rows
+        for role, k in (("serial", serial_k), ("baseline", target)):
+            use(case_id, role, *[ingredient(side, left, k, k, False, True) for side in (0, 1)])
+    rows = [(i, *part) for parts, i in known.items() for part in parts]
+    return rows, uses
 
 
 def heterogeneous_pairs(
@@ -190,8 +201,9 @@ def heterogeneous_pairs(
 
     All cases share one scan and one hash per distinct context.  The raw data becomes cells
     per (pair, side, context); which cells enter which sketch is a small literal frame that
-    is broadcast; a single maximum per (pair, case, role, register) then does reduction and
-    merge together, since both commute with the maximum.
+    is broadcast; a single maximum per (pair, sketch, register) then does reduction and merge
+    together, since both commute with the maximum.  Sketches that several cases or roles
+    have in common are made once.
 
     The serial reference is the left context, at the lower precision where the pair is
     recoverable; the baseline is the left hash at the lower precision, merged.  Both are the
@@ -214,12 +226,12 @@ def heterogeneous_pairs(
     choices = [resolve_hash(name, seed) for name, seed in contexts]
     cell_rows = cells(paired, ["pair_index", "side"], "value", choices, k_from)
 
-    rows = _ingredients(cases, contexts, mode)
+    rows, uses = _recipes(cases, contexts, mode)
     recipe = local_frame(
         spark,
         rows,
-        "case_id int, role string, side int, hash_id int, mid_k int, to_k int, "
-        "naive boolean, est_k int, sparse boolean",
+        "sketch_id int, side int, hash_id int, mid_k int, to_k int, naive boolean, est_k int, "
+        "sparse boolean",
     )
     mixed = cell_rows.join(F.broadcast(recipe), ["side", "hash_id"])
     mid_idx = b.reduced_idx(F.col("idx"), k_from, F.col("mid_k"))
@@ -228,7 +240,7 @@ def heterogeneous_pairs(
     to_rho = F.when(F.col("naive"), F.col("__rho")).otherwise(
         b.reduced_rho(F.col("__idx"), F.col("__rho"), F.col("mid_k"), F.col("to_k"))
     )
-    group = ["pair_index", "case_id", "role", "est_k", "sparse"]
+    group = ["pair_index", "sketch_id", "est_k", "sparse"]
     registers = (
         staged.select(
             *group,
@@ -238,7 +250,7 @@ def heterogeneous_pairs(
         .groupBy(*group, "idx")
         .agg(F.max("rho").alias("rho"))
     )
-    by = ["pair_index", "case_id", "role", "est_k"]
+    by = ["pair_index", "sketch_id", "est_k"]
     dense_rows = registers.withColumn("k", F.col("est_k"))
     if mode == "dense":
         summary = summarize(dense_rows, by)
@@ -260,7 +272,10 @@ def heterogeneous_pairs(
         bias_points,
     )
     value = F.col("estimate").cast("double")
-    sketched = estimated.groupBy("pair_index", "case_id").agg(
+    roles = local_frame(spark, uses, "case_id int, role string, sketch_id int")
+    sketched = estimated.join(F.broadcast(roles), "sketch_id").groupBy(
+        "pair_index", "case_id"
+    ).agg(
         *[
             F.max(F.when(F.col("role") == role, value)).alias(name)
             for role, name in (
