@@ -21,7 +21,7 @@ from checks.registry import (
     table,
 )
 from tallymark.functions import errors
-from tallymark.functions.labels import HASH_ORDER, SCENARIO_LABELS
+from tallymark.functions.labels import HASH_ORDER, SCENARIO_LABELS, order_of
 from tallymark.operators import exact, statistics
 from tallymark.operators.sketches import build_sketches
 from tallymark.operators.spec import SketchSpec, sketch
@@ -546,8 +546,8 @@ def _hom_sql() -> str:
 def _with_sizes(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Attach d and rho of the experiment, read from its runs."""
     sizes = exact.run_sizes(runs).agg(F.max("n").alias("n"), F.max("d").alias("d"))
-    sized = rows.crossJoin(F.broadcast(sizes))
-    return sized.withColumn("rho", errors.repetition(F.col("n"), F.col("d"))).drop("n")
+    sized = rows.withColumn("d", sizes.select("d").scalar())
+    return sized.withColumn("rho", errors.repetition(sizes.select("n").scalar(), F.col("d")))
 
 
 def _homogeneous(spark, sf_dir) -> DataFrame:
@@ -948,8 +948,6 @@ def srt1(spark, sf_dir):
         F.element_at(names, (F.col("o_custkey") % 4 + 1).cast("int")).alias("hash")
     )
     counted = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    from tallymark.functions.labels import order_of
-
     order = Window.partitionBy(F.lit(0)).orderBy(order_of(F.col("hash"), HASH_ORDER))
     return counted.withColumn("place", F.row_number().over(order))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import bits as b
-from tallymark.functions.bias import BiasPoints
+from tallymark.functions.bias import MAX_K, BiasPoints
 from tallymark.functions.bits import SPARSE_PRECISION
 from tallymark.functions.labels import params_text
 from tallymark.operators.cells import BITMAP_LEVEL, cells, register_terms, SUMS
@@ -261,9 +261,12 @@ def estimate_sketches(
 def pack_registers(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per sketch for storage: a dense array of ranks of fixed length ``2**res``.
 
-    For dense register sketches.  The group collected per sketch is its registers, at most
-    2**18 small integers.
+    The group collected per sketch is its registers, at most 2**18 small integers.  Sketches
+    at sparse resolution, which may hold far more, and bitmaps make the query fail.
     """
+    dense = F.coalesce(F.col("res") <= MAX_K, F.lit(False))
+    refused = F.raise_error(F.lit("only dense register sketches can be packed")).cast("boolean")
+    sketches = sketches.where(F.when(dense, F.lit(True)).otherwise(refused))
     filled = F.array_sort(F.collect_list(F.struct("idx", "rho")))
     grouped = sketches.groupBy(*keys, *IDENTITY).agg(F.map_from_entries(filled).alias("__m"))
     ranks = F.transform(

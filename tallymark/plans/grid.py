@@ -47,18 +47,12 @@ def experiment_grid(
         if any(n < 1 for n in ns):
             raise ValueError("a stream has at least one element")
         sizes = local_frame(spark, [(n,) for n in ns], "n bigint")
-    axes = [
-        sizes,
-        local_frame(spark, [(float(r),) for r in ratios], "ratio double"),
-        local_frame(spark, [(s,) for s in seeds], "seed bigint"),
-        local_frame(spark, [(p,) for p in params], "params string"),
-        local_frame(spark, [(h,) for h in hashes], "hash string"),
-    ]
-    grid = axes[0]
-    for axis in axes[1:]:
-        grid = grid.crossJoin(axis)
+    grid = sizes
+    for name, values in (("ratio", ratios), ("seed", seeds), ("params", params), ("hash", hashes)):
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     d = F.greatest(F.lit(1), F.least(F.bround(F.col("n") * F.col("ratio")), F.col("n")))
-    return grid.select("n", d.cast("bigint").alias("d"), "seed", "params", "hash").distinct()
+    seed = F.col("seed").cast("bigint").alias("seed")
+    return grid.select("n", d.cast("bigint").alias("d"), seed, "params", "hash").distinct()
 
 
 def classify(
@@ -129,10 +123,17 @@ def context_pairs(
     strategies: Sequence[str],
 ) -> DataFrame:
     """Every left context with every right one and every strategy."""
+    rights = [
+        F.struct(
+            F.lit(name).alias("right_hash"),
+            F.lit(seed).cast("bigint").alias("right_hash_seed"),
+            F.lit(k).alias("right_k"),
+        )
+        for name, seed, k in right
+    ]
     lefts = local_frame(spark, left, "left_hash string, left_hash_seed bigint, left_k int")
-    rights = local_frame(spark, right, "right_hash string, right_hash_seed bigint, right_k int")
-    kinds = local_frame(spark, [(s,) for s in strategies], "strategy string")
-    return lefts.crossJoin(rights).crossJoin(kinds)
+    paired = lefts.select("*", F.inline(F.array(*rights)))
+    return paired.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
 
 
 @dataclass(frozen=True)

@@ -133,7 +133,7 @@ def interpolated_points(
 
     Checkpoints with the same truth are averaged first.  Series with fewer than two points
     and targets outside a series give no row.  A series has at most one point per
-    checkpoint, and the targets are a handful of broadcast rows.
+    checkpoint, and each segment between two of them picks the few targets inside it.
     """
     series = with_sweep_keys(results).groupBy(*by, "f0_mean_t").agg(
         F.avg("number_of_elements_processed").alias("t"),
@@ -154,14 +154,15 @@ def interpolated_points(
         F.lead("s").over(order).alias("s_next"),
         F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("points"),
     ).where(F.col("points") >= 2)
-    wanted = local_frame(
-        results.sparkSession, [(float(v),) for v in targets], "f0_star double"
-    )
     star = F.col("f0_star")
-    inside = (F.col("x") <= star) & (
-        (star < F.col("x_next")) | (F.col("x_next").isNull() & (star == F.col("x")))
-    )
-    hit = segments.join(F.broadcast(wanted), inside)
+
+    def inside(target: Column) -> Column:
+        return (F.col("x") <= target) & (
+            (target < F.col("x_next")) | (F.col("x_next").isNull() & (target == F.col("x")))
+        )
+
+    wanted = F.array(*[F.lit(float(v)) for v in targets])
+    hit = segments.withColumn("f0_star", F.explode(F.filter(wanted, inside)))
 
     def between(name: str) -> Column:
         slope = (F.col(f"{name}_next") - F.col(name)) / (F.col("x_next") - F.col("x"))

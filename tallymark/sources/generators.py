@@ -80,9 +80,7 @@ def positions(spark: SparkSession, n: int, p: int) -> DataFrame:
     if n == 0:
         return ids.select(F.lit(0).alias("run_id"), F.col("id").alias("pos"))
     return ids.select(
-        F.floor(F.col("id") / n).cast("int").alias("run_id")
-        if n * p < 1 << 53
-        else F.expr(f"cast(id div {n} as int)").alias("run_id"),
+        F.expr(f"cast(id div {n} as int)").alias("run_id"),
         (F.pmod(F.col("id"), F.lit(n)) + 1).alias("pos"),
     )
 
@@ -131,8 +129,7 @@ def constant_rho_values(
     The other elements of block j repeat one of the j+1 ids seen so far, uniformly.
     """
     ready = _prepared(places, n, d, seed)
-    rho = F.floor(F.col("__n") / F.col("__d")).cast("bigint")
-    blocks = ready.withColumn("__rho", rho).withColumns(
+    blocks = ready.withColumn("__rho", F.expr("__n div __d")).withColumns(
         {
             "__block": F.expr("__at div __rho"),
             "is_new": F.col("__at") % F.col("__rho") == 0,

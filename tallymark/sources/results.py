@@ -127,9 +127,10 @@ def replace_namespaces(
 
 
 def _writer(df: DataFrame, format: str, by: Sequence[str] = LAYOUT_COLUMNS):
-    # One task per output partition is enough for summary rows, and avoids tiny files.
+    # Rows of one output folder are brought together to avoid tiny files; a folder that
+    # holds much of the data is split again.
     rows = as_text(df) if format == "csv" else df
-    writer = rows.repartition(*by).write.partitionBy(*by).format(format)
+    writer = rows.hint("rebalance", *by).write.partitionBy(*by).format(format)
     if format == "csv":
         writer = writer.options(header=True, quote='"', escape='"')
     return writer
