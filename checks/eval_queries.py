@@ -914,6 +914,24 @@ def sta8(spark, sf_dir):
     return rounded(reports.hash_mismatch_findings(summary))
 
 
+@query(
+    "sta8_precision_findings",
+    lambda: rounded_sql(
+        f"WITH g AS ({het_sql(PRECISION_CASES) + _SIZES}"
+        f"SELECT strategy, validity, {_aggregates(False)} FROM hx GROUP BY ALL) "
+        "SELECT 'reduce_then_merge global mean relative error' AS finding, merge_rel_mean AS value "
+        "FROM g WHERE strategy = 'reduce_then_merge' UNION ALL "
+        "SELECT 'unsafe_naive_merge global mean relative error', merge_rel_mean FROM g "
+        "WHERE strategy = 'unsafe_naive_merge' UNION ALL SELECT 'worst-case unsafe_naive_merge', "
+        "merge_rel_max FROM g WHERE strategy = 'unsafe_naive_merge'",
+        ["value"],
+    ),
+)
+def sta8_precision(spark, sf_dir):
+    summary = reports.precision_mismatch_global(_het_rows(spark, sf_dir, PRECISION_CASES))
+    return rounded(reports.precision_mismatch_findings(summary))
+
+
 @query(
     "mth6_merge_ratios",
     lambda: rounded_sql(
@@ -1017,6 +1035,15 @@ def snk5(spark, sf_dir):
     )
 
 
+@query("snk6_summary_table", lambda: rounded_sql(_hom_sql(), _HOM_DOUBLES))
+def snk6(spark, sf_dir):
+    """A summary written as files with a header and read with its schema."""
+    root = scratch_folder(spark, "summary")
+    summary = _homogeneous(spark, sf_dir)
+    results.write_table(summary, root)
+    return rounded(spark.read.schema(summary.schema).csv(root, header=True, escape='"'))
+
+
 @query("snk7_replace_partitions", lambda: merge_sql() + _MERGE_ROWS)
 def snk7(spark, sf_dir):
     """A wrong version of the results is replaced; only the right one is left."""

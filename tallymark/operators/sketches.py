@@ -3,7 +3,8 @@
 A sketch table holds ``keys.., algo, hash, hash_seed, k, l, res, idx, rho``: one row per
 touched register, absent registers being 0.  ``res`` is the precision of ``idx``.  It equals
 ``k`` for dense sketches and 25 for HyperLogLog++ sketches kept at sparse resolution.
-Probabilistic Counting rows carry the bit number in ``idx`` and 1 in ``rho``.  Merging is a
+Probabilistic Counting rows carry the bit number in ``idx`` and 1 in ``rho`` (-1 and 0 for
+elements outside the bitmap).  Merging is a
 maximum per register for every algorithm, so it is associative, commutative and idempotent:
 any topology, any order and any repetition of inputs give the same result.
 """
@@ -19,7 +20,7 @@ from tallymark.functions import bits as b
 from tallymark.functions.bias import MAX_K, BiasPoints
 from tallymark.functions.bits import SPARSE_PRECISION
 from tallymark.functions.labels import params_text
-from tallymark.operators.cells import BITMAP_LEVEL, cells, register_terms, SUMS
+from tallymark.operators.cells import BITMAP_LEVEL, SUMS, cells, hashed_rows, register_terms
 from tallymark.operators.estimate import estimate_rows
 from tallymark.operators.sparse import (
     is_dense,
@@ -51,10 +52,7 @@ def build_sketches(
     if sparse_resolution and spec.algo != "hllpp":
         raise ValueError("only HyperLogLog++ has a sparse resolution")
     if spec.algo == "pc":
-        # The bit number is the register: at most 31 rows per key.
-        rows = cells(df, keys, value, [spec.hash], 4, bitmap=True)
-        per_key = rows.groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
-        registers = _bitmap_rows(per_key, keys, spec.l)
+        registers = _bitmap_rows(df, keys, value, spec)
         res = None
     else:
         res = SPARSE_PRECISION if sparse_resolution else spec.k
@@ -74,14 +72,24 @@ def build_sketches(
     )
 
 
-def _bitmap_rows(per_key: DataFrame, keys: Sequence[str], length: int) -> DataFrame:
-    positions = F.filter(
-        F.sequence(F.lit(0), F.lit(length - 1)),
-        lambda i: F.getbit(F.col("bits"), i) == 1,
-    )
-    return per_key.select(
-        *keys, F.explode(positions).alias("idx"), F.lit(1).alias("rho")
+def _bitmap_rows(
+    df: DataFrame, keys: Sequence[str], value: str, spec: SketchSpec
+) -> DataFrame:
+    """One row per set bit, at most 31 per key.
+
+    Elements that set no bit within the length leave a row with ``idx`` -1 and rank 0, so
+    that no key with values is lost.
+    """
+    bit = b.bitmap_bit(F.col("h"))
+    position = F.bit_count(bit - F.lit(1).cast("bigint"))
+    missed = (F.col("__bit") == 0) | (F.col("__at") >= spec.l)
+    rows = hashed_rows(df, keys, value, [spec.hash]).withColumns({"__bit": bit, "__at": position})
+    placed = rows.select(
+        *keys,
+        F.when(missed, -1).otherwise(F.col("__at")).alias("idx"),
+        F.when(missed, 0).otherwise(1).alias("rho"),
     )
+    return placed.groupBy(*keys, "idx").agg(F.max("rho").alias("rho"))
 
 
 def identity_text(prefix: str = "") -> Column:
@@ -221,11 +229,9 @@ def estimate_sketches(
     terms = register_terms(F.col("rho"), F.coalesce(F.col("k"), F.lit(4)))
     is_register = ~F.col("__code") & ~is_pc
     aggregates = [F.sum(F.when(is_register, terms[name])).alias(name) for name in SUMS]
-    aggregates.append(
-        F.bit_or(
-            F.when(is_pc, b.shift_left(F.lit(1).cast("bigint"), F.col("idx")))
-        ).alias("bits")
-    )
+    one = F.lit(1).cast("bigint")
+    set_bit = F.when(is_pc & (F.col("idx") >= 0), b.shift_left(one, F.col("idx")))
+    aggregates.append(F.coalesce(F.bit_or(set_bit), F.lit(0).cast("bigint")).alias("bits"))
     aggregates.append(F.sum(F.when(F.col("__code"), 1)).alias("n_codes"))
     summary = registers.groupBy(*group).agg(*aggregates)
     candidates = open_precisions(ks)

@@ -30,8 +30,6 @@ def live_sketches(
     stream: DataFrame, keys: Sequence[str], value: str, spec: SketchSpec
 ) -> DataFrame:
     """The sketch table of a stream, updated per trigger; to be run in update mode."""
-    if spec.algo == "pc":
-        raise ValueError("bitmaps need two aggregations; maintain them from live registers")
     return build_sketches(stream, keys, value, spec)
 
 
@@ -138,7 +136,7 @@ def maintain(
     """
     spark = stream.sparkSession
     log = SketchLog(spark, root, keys)
-    ks = [spec.k]
+    ks = [spec.k] if spec.k is not None else None
 
     def on_trigger(touched: DataFrame, batch_id: int) -> None:
         log.put(touched, batch_id)

@@ -141,6 +141,16 @@ def test_rollup_from_a_stored_table(spark, data, tmp_path):
     assert got == {r.odd: r.estimate for r in want.collect()}
 
 
+def test_bitmap_sketch_keeps_keys_that_set_no_bit(spark):
+    data = spark.range(40).select(F.col("id").alias("key"), F.col("id").alias("v"))
+    spec = sketch("pc", l=1)
+    rows = build_sketches(data, ["key"], "v", spec)
+    got = {r.key: r.estimate for r in estimate_sketches(rows, ["key"], "dense").collect()}
+    want = distinct_estimates(data, ["key"], "v", [spec]).collect()
+    assert len(got) == 40 and got == {r.key: r.estimate for r in want}
+    assert set(got.values()) == {1, 2}
+
+
 def test_empty_keys_on_request(spark):
     data = spark.createDataFrame([("a", 1), ("b", None)], "g string, v bigint")
     for spec, empty in ((sketch("pc", l=9), 1), (sketch("ll", 4), 6), (sketch("hll", 4), 0),

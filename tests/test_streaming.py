@@ -5,7 +5,7 @@ from tallymark.operators.estimate import distinct_estimates
 from tallymark.operators.sketches import build_sketches
 from tallymark.operators.spec import sketch
 from tallymark.sources.scratch import scratch_folder
-from tallymark.streaming.live import SketchLog, live_sketches, live_union, maintain
+from tallymark.streaming.live import SketchLog, live_union, maintain
 
 SPEC = sketch("hllpp", 9)
 
@@ -89,6 +89,11 @@ def test_union_of_messages_is_idempotent(spark):
     assert log.latest().first().estimate == want
 
 
-def test_bitmaps_are_refused(spark):
-    with pytest.raises(ValueError):
-        live_sketches(spark.readStream.format("rate").load(), [], "value", sketch("pc", l=9))
+@pytest.mark.parametrize("spec", [sketch("pc", l=20), sketch("ll", 6)], ids=lambda s: s.algo)
+def test_other_algorithms_live(spark, spec):
+    folder, root = scratch_folder(spark, "feed"), scratch_folder(spark, "state")
+    feed(spark, folder, 0, 900)
+    query, log = maintain(source(spark, folder), ["key"], "value", spec, root, available_now=True)
+    query.awaitTermination()
+    want = distinct_estimates(spark.read.parquet(folder), ["key"], "value", [spec])
+    assert estimates(log.latest()) == estimates(want)
