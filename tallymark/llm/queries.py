@@ -7,15 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.llm.byte_bpe import encode_documents
 from tallymark.llm.common import table
+from tallymark.llm.language_id import identify_languages
+from tallymark.llm.line_crf import judge_documents, learn_line_crf
+from tallymark.llm.quality_model import score_quality
 from tallymark.llm.token_counts import count_tokens
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
 
 
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge_documents(docs, learn_line_crf(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(
         table(spark, sf_dir, "documents"),
@@ -26,7 +42,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op5_quality_model": op5_quality_model,
     "op7_token_counts": op7_token_counts,
+    "op8_line_crf": op8_line_crf,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
