@@ -9,14 +9,33 @@ from tallymark.llm.byte_bpe import encode_documents
 from tallymark.llm.common import table
 from tallymark.llm.language_id import identify_languages
 from tallymark.llm.line_crf import judge_documents, learn_line_crf
+from tallymark.llm.mixing import mix_sources
+from tallymark.llm.near_dedup import near_duplicates
+from tallymark.llm.pii import pseudonymise_documents
 from tallymark.llm.quality_model import score_quality
 from tallymark.llm.token_counts import count_tokens
 
 
+#: Stands for the secret that a deployment keeps; pseudonyms in results follow from it.
+PII_KEY = b"key of the registered queries"
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise_documents(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("node")
+
+
+def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,9 +62,50 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_cube_mix": op4_cube_mix,
     "op5_quality_model": op5_quality_model,
     "op7_token_counts": op7_token_counts,
     "op8_line_crf": op8_line_crf,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+
+#: Smallest id reachable over ``links`` (a, b), both ways, for each of ``items`` (id).
+_REACHED = """
+    reach(id, other) AS (
+        SELECT id, id FROM items
+        UNION
+        SELECT r.id, e.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e
+        ON r.other = e.a
+    ),
+    reached AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_minhash_dedup": f"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents
+    ),
+    shingles AS (
+        SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+            ELSE array_to_string(w[i:i + 2], ' ') END AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM words WHERE len(w) > 0)
+    ),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    items AS (SELECT doc_id AS id FROM documents),
+    links AS (
+        SELECT a, b FROM (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+            FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+        ) JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+        WHERE 100 * common >= 85 * (p.n + q.n - common)
+    ),
+    {_REACHED}
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached r ON r.id = d.doc_id
+    """,
+}
