@@ -8,8 +8,9 @@ Candidates in a bucket form a star: its centre is the member that shares the mos
 overall, which in a group of copies is the text that the others come from. The pairs of a star are
 confirmed on the full sets. What a star leaves open, pairs of a bucket that are not yet connected, is
 compared too, except where sizes or the exact distances to the centre rule a link out (the Jaccard
-distance is a metric). So no pair that shares a bucket is lost, and groups that hang together by
-their centre never become all their pairs.
+distance is a metric), or where one-bit sketches of the signatures differ in more places than six
+standard deviations above those of a pair at the limit. So hardly any pair that shares a bucket is
+lost, and groups that hang together by their centre never become all their pairs.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from tallymark.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 80
-BANDS = 32
-ROWS = 4
+BANDS = 42
+ROWS = 6
 
-_BITS = 7
+_BITS = 9
 _BINS = 1 << _BITS
 #: Words whose hashes a worker keeps; a full cache starts anew.
 _MAX_WORDS = 500_000
@@ -77,40 +78,57 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     least = shingles[np.minimum(starts, len(shingles) - 1)]
     if filled.all():
         return least
-    order = _borrowing_order()
-    lender = order[np.arange(_BINS), filled[order].argmax(axis=1)]
-    return np.where(filled, least, least[lender])
+    empty = np.flatnonzero(~filled)
+    order = _borrowing_order()[empty]
+    least[empty] = least[order[np.arange(len(empty)), filled[order].argmax(axis=1)]]
+    return least
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One bucket key per band, which holds the band's number."""
-    rows = signature(shingles).reshape(BANDS, ROWS)
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One bucket key per band of a signature, which holds the band's number."""
+    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         key = mixed(key ^ rows[:, i])
     return key
 
 
+def sketch_bits(least: np.ndarray) -> np.ndarray:
+    """One bit per bin of a signature, drawn anew for every bin and value, in 64-bit words."""
+    bits = mixed(least ^ (np.arange(_BINS, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))) & np.uint64(1)
+    return np.packbits(bits.astype(bool)).view(np.uint64)
+
+
+def most_differing(percent: int) -> int:
+    """Sketch bits in which a pair at the limit differs at most, but for six standard deviations."""
+    share = (1 - percent / 100) / 2
+    return int(_BINS * share + 6 * (_BINS * share * (1 - share)) ** 0.5) + 1
+
+
 def node_of(shingles: np.ndarray) -> bytes:
     """A 128-bit digest of a set."""
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-_SKETCH = "n bigint, node binary, bands array<bigint>"
+_WORDS_OF_BITS = _BINS // 64
+_SKETCH = "n bigint, node binary, bands array<bigint>, bits array<bigint>"
 _SET = "node binary, shingles array<bigint>"
 
 
 def _sketch_of(text: Column, words: int) -> Column:
     def make(texts: pa.Array) -> pa.Array:
-        sizes, nodes, bands = [], [], []
+        sizes, nodes, bands, bits = [], [], [], []
         for value in texts:
             found = shingle_set(value.as_py() or "", words)
+            least = signature(found) if len(found) else None
             sizes.append(len(found))
-            nodes.append(node_of(found) if len(found) else None)
-            bands.append(band_keys(found).view(np.int64) if len(found) else [])
+            nodes.append(None if least is None else node_of(found))
+            bands.append([] if least is None else band_keys(least).view(np.int64))
+            bits.append([] if least is None else sketch_bits(least).view(np.int64))
+        numbers = pa.list_(pa.int64())
         return pa.StructArray.from_arrays(
-            [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            ["n", "node", "bands"],
+            [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, numbers), pa.array(bits, numbers)],
+            ["n", "node", "bands", "bits"],
         )
 
     return F.arrow_udf(make, _SKETCH)(text)
@@ -130,6 +148,11 @@ def _set_of(text: Column, words: int) -> Column:
     return F.arrow_udf(make, _SET)(text)
 
 
+def node_column(text: Column, words: int) -> Column:
+    """The digest of a text's shingle set, null without words: equal sets have equal nodes."""
+    return _sketch_of(text, words)["node"]
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) with their Jaccard distance and whether they are linked, on the full sets."""
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
@@ -155,7 +178,7 @@ def near_duplicates(
     of ``docs``. Null and empty texts have no shingles and no links. Rows without an id teach no
     component its id: they have the component of the same set if that has an id, else null, and are
     kept in the latter case. Repeated rows are equal, so all or none of them are kept. The chance that
-    a pair at the limit shares no bucket is below 1e-7.
+    a pair at the limit shares no bucket is below 1e-5.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = stored(
@@ -164,7 +187,7 @@ def near_duplicates(
     nodes = stored(
         sketched.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")),
         "nodes",
     )
     places = nodes.where("id IS NOT NULL").select("node", "n", F.explode("bands").alias("bucket"))
@@ -194,18 +217,24 @@ def near_duplicates(
     labels = stored(connected_components(links), "labels")
 
     known = starred.join(near.selectExpr("a AS centre", "b AS node", "distance", "linked"), ["centre", "node"])
+    words_of_bits = [f"bits_{i}" for i in range(_WORDS_OF_BITS)]
     known = stored(
-        known.join(labels, "node", "left").select(
-            "bucket", "node", "n", "distance", "linked", F.coalesce("label", "node").alias("label")
+        known.join(labels, "node", "left")
+        .join(nodes.select("node", *[F.col("bits")[i].alias(c) for i, c in enumerate(words_of_bits)]), "node")
+        .select(
+            "bucket", "node", "n", "distance", "linked", F.coalesce("label", "node").alias("label"), *words_of_bits
         ),
         "open",
     )
     # in a bucket, one without a link to the centre against all others; the centre itself is done
     loose = known.where("NOT linked").select(
-        "bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "distance", "label")]
+        "bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "distance", "label", *words_of_bits)]
+    )
+    other = known.select(
+        "bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "distance", "label", "linked", *words_of_bits)]
     )
-    other = known.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "distance", "label", "linked")])
     reach = 1 - percent / 100 + 1e-9
+    differing = F.expr(" + ".join(f"bit_count({c}_a ^ {c}_b)" for c in words_of_bits))
     rest = (
         loose.join(
             other,
@@ -214,7 +243,8 @@ def near_duplicates(
             & (F.col("linked_b") | (F.col("node_a") < F.col("node_b")))
             & (100 * F.col("n_a") >= percent * F.col("n_b"))
             & (100 * F.col("n_b") >= percent * F.col("n_a"))
-            & (F.abs(F.col("distance_a") - F.col("distance_b")) <= reach),
+            & (F.abs(F.col("distance_a") - F.col("distance_b")) <= reach)
+            & (differing <= most_differing(percent)),
         )
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         .distinct()
@@ -228,7 +258,7 @@ def near_duplicates(
     found = whole.select("node", "label").join(smallest, "label").select("node", "component_id")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return (
-        sketched.drop("bands")
+        sketched.drop("bands", "bits")
         .join(found, "node", "left")
         .select(
             F.col("id").alias(id_col),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.llm.byte_bpe import encode_documents
 from tallymark.llm.common import table
+from tallymark.llm.embedding_dedup import near_vectors
 from tallymark.llm.language_id import identify_languages
 from tallymark.llm.line_crf import judge_documents, learn_line_crf
 from tallymark.llm.mixing import mix_sources
@@ -14,6 +15,7 @@ from tallymark.llm.near_dedup import near_duplicates
 from tallymark.llm.pii import pseudonymise_documents
 from tallymark.llm.quality_model import score_quality
 from tallymark.llm.token_counts import count_tokens
+from tallymark.llm.warc import archive_and_read
 
 
 #: Stands for the secret that a deployment keeps; pseudonyms in results follow from it.
@@ -40,6 +42,10 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
@@ -60,15 +66,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_cube_mix": op4_cube_mix,
     "op5_quality_model": op5_quality_model,
+    "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op8_line_crf": op8_line_crf,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 #: Smallest id reachable over ``links`` (a, b), both ways, for each of ``items`` (id).
@@ -108,4 +120,39 @@ ORACLES: dict[str, str] = {
     SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
     FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached r ON r.id = d.doc_id
     """,
+    "op6_warc": """
+    WITH payloads AS (
+        SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+    ),
+    sums AS (
+        SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest
+        FROM payloads
+    ),
+    placed AS (
+        SELECT *, CASE WHEN payload_bytes >= 1000
+            THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes >= 1000) ELSE page_id END AS response
+        FROM sums
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> response THEN response END AS refers_to
+    FROM placed
+    """,
+    "op10_embedding_dedup": f"""
+    WITH RECURSIVE vectors AS (
+        SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    links AS (
+        SELECT x.id AS a, y.id AS b FROM vectors x JOIN vectors y
+        ON x.id < y.id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95
+    ),
+    items AS (SELECT vec_id AS id FROM embeddings),
+    {_REACHED},
+    ends AS (SELECT a AS id FROM links UNION ALL SELECT b FROM links),
+    counts AS (SELECT id, count(*) AS n FROM ends GROUP BY id)
+    SELECT r.id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, r.id = component_id AS kept
+    FROM reached r LEFT JOIN counts USING (id)
+    """,
 }
