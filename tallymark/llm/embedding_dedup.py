@@ -27,7 +27,7 @@ from tallymark.llm.components import connected_components
 COSINE = 0.95
 MAX_PIVOTS = 64
 #: Vectors of a cell's block and of a chunk that it meets.
-BLOCK, CHUNK = 1024, 4096
+BLOCK, CHUNK = 1024, 8192
 #: A cosine this near the limit is computed again, with sums that do not depend on order.
 _DOUBT = 1e-9
 
@@ -109,50 +109,41 @@ def _tile_links(home: np.ndarray, others: np.ndarray, cosine: float) -> np.ndarr
     return linked
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """The least index connected with each row, then with each column (columns come after rows)."""
-    rows, columns = linked.shape
-    label = np.arange(rows + columns)
-    while True:
+def _least_connected(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least index connected with each of ``n`` points by the given links."""
+    label = np.arange(n)
+    while len(left):
         before = label.copy()
-        top = np.where(linked, label[rows:], rows + columns).min(axis=1, initial=rows + columns)
-        label[:rows] = np.minimum(label[:rows], top)
-        side = np.where(linked, label[:rows, None], rows + columns).min(axis=0, initial=rows + columns)
-        label[rows:] = np.minimum(label[rows:], side)
+        np.minimum.at(label, left, label[right])
+        np.minimum.at(label, right, label[left])
+        label = label[label]
         if (label == before).all():
-            return label
+            break
+    return label
 
 
 def _join_tile(size: int, cosine: float):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values(["visits", "node"], kind="stable")
-        rows = np.frombuffer(b"".join(tile["vector"]), dtype="<f8").reshape(-1, size)
-        weight = tile["weight"].to_numpy()
         own = int((~tile["visits"]).sum())
         if not own:
             return pd.DataFrame({"node": [], "other": [], "links": []})
-        within = bool(tile["chunk"].iloc[0] == 0)
-        linked = _tile_links(rows[:own], rows if within else rows[own:], cosine)
-        if within:
-            linked[np.arange(own), np.arange(own)] = False
-            inner = linked[:, :own]
-            inner[:] = inner | inner.T
-        count = np.zeros(len(rows), dtype=np.int64)
-        first = 0 if within else own
-        count[:own] = linked @ weight[first:]
-        outer = linked[:, own - first :]
-        count[own:] = weight[:own] @ outer
-        # rows of the block and all columns that they meet, as one graph
-        label = _forest(linked)
-        nodes = tile["node"].to_numpy()
-        index = np.concatenate((np.arange(own), np.arange(first, len(rows))))
-        least = index[label]
-        touched = count > 0
-        edges = least != index
+        rows = np.frombuffer(b"".join(tile["vector"]), dtype="<f8").reshape(-1, size)
+        weight = tile["weight"].to_numpy()
+        first = 0 if tile["chunk"].iloc[0] == 0 else own  # a block meets itself once
+        left, right = np.nonzero(_tile_links(rows[:own], rows[first:], cosine))
+        right = right + first
+        once = (right >= own) | (left < right)
+        left, right = left[once], right[once]
+        n = len(rows)
+        count = np.bincount(left, weights=weight[right], minlength=n)
+        count += np.bincount(right, weights=weight[left], minlength=n)
+        nodes, label = tile["node"].to_numpy(), _least_connected(n, left, right)
+        touched, edges = np.flatnonzero(count), np.flatnonzero(label != np.arange(n))
         return pd.DataFrame({
-            "node": np.concatenate((nodes[touched], nodes[index[edges]])),
-            "other": np.concatenate((np.full(touched.sum(), None), nodes[least[edges]])),
-            "links": np.concatenate((count[touched], np.zeros(edges.sum(), dtype=np.int64))),
+            "node": np.concatenate((nodes[touched], nodes[edges])),
+            "other": np.concatenate((np.full(len(touched), None), nodes[label[edges]])),
+            "links": np.concatenate((count[touched].astype(np.int64), np.zeros(len(edges), np.int64))),
         })
 
     return run

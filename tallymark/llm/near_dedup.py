@@ -18,6 +18,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ WORDS = 5
 PERCENT = 80
 BANDS = 42
 ROWS = 6
+#: Members of a star that meet as many others at a time.
+TILE = 512
 
 _BITS = 9
 _BINS = 1 << _BITS
@@ -110,25 +113,21 @@ def node_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-_WORDS_OF_BITS = _BINS // 64
-_SKETCH = "n bigint, node binary, bands array<bigint>, bits array<bigint>"
+_SKETCH = "n bigint, node binary, bands array<bigint>"
 _SET = "node binary, shingles array<bigint>"
 
 
 def _sketch_of(text: Column, words: int) -> Column:
     def make(texts: pa.Array) -> pa.Array:
-        sizes, nodes, bands, bits = [], [], [], []
+        sizes, nodes, bands = [], [], []
         for value in texts:
             found = shingle_set(value.as_py() or "", words)
-            least = signature(found) if len(found) else None
             sizes.append(len(found))
-            nodes.append(None if least is None else node_of(found))
-            bands.append([] if least is None else band_keys(least).view(np.int64))
-            bits.append([] if least is None else sketch_bits(least).view(np.int64))
-        numbers = pa.list_(pa.int64())
+            nodes.append(node_of(found) if len(found) else None)
+            bands.append(band_keys(signature(found)).view(np.int64) if len(found) else [])
         return pa.StructArray.from_arrays(
-            [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, numbers), pa.array(bits, numbers)],
-            ["n", "node", "bands", "bits"],
+            [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            ["n", "node", "bands"],
         )
 
     return F.arrow_udf(make, _SKETCH)(text)
@@ -164,6 +163,71 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _open_links(near: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of a star that its centre does not connect.
+
+    Loose members, those without a link to the centre, meet each other and the linked ones in tiles
+    of bounded size; a tile emits the links it finds and none of the pairs it looks at.
+    """
+    looseness = (~F.col("linked")).cast("long")
+    crowd = near.groupBy("a").agg(F.sum(looseness).alias("loose"), F.sum(1 - looseness).alias("bound"))
+    crowd = crowd.where("loose > 0 AND loose + bound > 1").select(
+        F.col("a").alias("centre"),
+        F.ceil(F.col("loose") / TILE).cast("int").alias("loose_blocks"),
+        F.ceil(F.col("bound") / TILE).cast("int").alias("bound_blocks"),
+    )
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("bound_blocks")).otherwise(F.col("loose_blocks")))
+    placed = (
+        near.select(F.col("a").alias("centre"), F.col("b").alias("node"), "distance", "linked")
+        .join(crowd, "centre")
+        .withColumn("block", block.cast("int"))
+        .join(labels, "node", "left")
+        .withColumn("label", F.coalesce("label", "node"))
+    )
+    # tile (i, j, false) has the loose blocks i <= j, tile (i, j, true) loose block i and bound block j
+    loose, bound = (F.sequence(F.lit(0), F.col(f"{kind}_blocks") - 1) for kind in ("loose", "bound"))
+    whole = lambda i, j, b: F.struct(i.alias("i"), j.alias("j"), F.lit(b).alias("b"))
+    own = F.col("block")
+    to_loose = F.transform(loose, lambda k: whole(F.least(own, k), F.greatest(own, k), False))
+    to_bound = F.when(F.col("bound_blocks") > 0, F.transform(bound, lambda k: whole(own, k, True))).otherwise(
+        F.array().cast("array<struct<i:int,j:int,b:boolean>>")
+    )
+    of_bound = F.transform(loose, lambda k: whole(k, own, True))
+    tiles = F.when(F.col("linked"), of_bound).otherwise(F.concat(to_loose, to_bound))
+    dealt = placed.select("centre", "node", "label", "distance", "linked", "block", F.inline(tiles)).join(sets, "node")
+    return dealt.groupBy("centre", "i", "j", "b").applyInPandas(_tile_links(percent), "a binary, b binary")
+
+
+def _tile_links(percent: int):
+    most, reach = most_differing(percent), 1 - percent / 100 + 1e-9
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        first = tile[(tile["block"] == tile["i"]) & ~tile["linked"]].drop_duplicates("node")
+        other = tile[(tile["block"] == tile["j"]) & (tile["linked"] == tile["b"])].drop_duplicates("node")
+        sets = [[np.asarray(x).view(np.uint64) for x in side["shingles"]] for side in (first, other)]
+        bits = [
+            np.array([sketch_bits(signature(np.sort(x))) for x in side]).reshape(-1, _BINS // 64) for side in sets
+        ]
+        n = [np.array([len(x) for x in side], dtype=np.int64) for side in sets]
+        distance = [side["distance"].to_numpy() for side in (first, other)]
+        nodes, labels = ([side[c].to_numpy() for side in (first, other)] for c in ("node", "label"))
+        found: list[tuple[bytes, bytes]] = []
+        for k, shingles in enumerate(sets[0]):
+            near = (
+                (labels[1] != labels[0][k])
+                & (np.abs(distance[1] - distance[0][k]) <= reach)
+                & (100 * np.minimum(n[1], n[0][k]) >= percent * np.maximum(n[1], n[0][k]))
+                & (np.bitwise_count(bits[1] ^ bits[0][k]).sum(axis=1) <= most)
+            )
+            for m in np.flatnonzero(near):
+                common = len(np.intersect1d(shingles, sets[1][m], assume_unique=True))
+                if 100 * common >= percent * (n[0][k] + n[1][m] - common):
+                    found.append((nodes[0][k], nodes[1][m]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = WORDS,
@@ -187,7 +251,7 @@ def near_duplicates(
     nodes = stored(
         sketched.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")),
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "nodes",
     )
     places = nodes.where("id IS NOT NULL").select("node", "n", F.explode("bands").alias("bucket"))
@@ -200,7 +264,7 @@ def near_duplicates(
         .agg(F.max(F.struct("weight", "node")).alias("top"))
         .select("bucket", F.col("top.node").alias("centre"))
     )
-    starred = stored(shared.join(centres, "bucket").drop("crowd"), "stars")
+    starred = stored(shared.join(centres, "bucket").select("node", "centre").distinct(), "stars")
 
     wanted = starred.select("node").distinct().join(nodes.select("node", "id"), "node")
     sets = stored(
@@ -211,45 +275,12 @@ def near_duplicates(
         .agg(F.first("made.shingles").alias("shingles")),
         "shingles",
     )
-    star = starred.where("node <> centre").selectExpr("centre AS a", "node AS b").distinct()
+    star = starred.where("node <> centre").selectExpr("centre AS a", "node AS b")
     near = stored(_compared(star, sets, percent), "compared")
     links = near.where("linked").select("a", "b")
     labels = stored(connected_components(links), "labels")
 
-    known = starred.join(near.selectExpr("a AS centre", "b AS node", "distance", "linked"), ["centre", "node"])
-    words_of_bits = [f"bits_{i}" for i in range(_WORDS_OF_BITS)]
-    known = stored(
-        known.join(labels, "node", "left")
-        .join(nodes.select("node", *[F.col("bits")[i].alias(c) for i, c in enumerate(words_of_bits)]), "node")
-        .select(
-            "bucket", "node", "n", "distance", "linked", F.coalesce("label", "node").alias("label"), *words_of_bits
-        ),
-        "open",
-    )
-    # in a bucket, one without a link to the centre against all others; the centre itself is done
-    loose = known.where("NOT linked").select(
-        "bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "distance", "label", *words_of_bits)]
-    )
-    other = known.select(
-        "bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "distance", "label", "linked", *words_of_bits)]
-    )
-    reach = 1 - percent / 100 + 1e-9
-    differing = F.expr(" + ".join(f"bit_count({c}_a ^ {c}_b)" for c in words_of_bits))
-    rest = (
-        loose.join(
-            other,
-            (loose["bucket"] == other["bucket"])
-            & (F.col("label_a") != F.col("label_b"))
-            & (F.col("linked_b") | (F.col("node_a") < F.col("node_b")))
-            & (100 * F.col("n_a") >= percent * F.col("n_b"))
-            & (100 * F.col("n_b") >= percent * F.col("n_a"))
-            & (F.abs(F.col("distance_a") - F.col("distance_b")) <= reach)
-            & (differing <= most_differing(percent)),
-        )
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        .distinct()
-    )
-    later = _compared(rest, sets, percent).where("linked").select("a", "b")
+    later = _open_links(near, labels, sets, percent)
     groups = connected_components(links.union(later))
 
     whole = nodes.select("node", "id").join(groups, "node", "left")
@@ -258,7 +289,7 @@ def near_duplicates(
     found = whole.select("node", "label").join(smallest, "label").select("node", "component_id")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return (
-        sketched.drop("bands", "bits")
+        sketched.drop("bands")
         .join(found, "node", "left")
         .select(
             F.col("id").alias(id_col),
