@@ -3,16 +3,15 @@
 A source's target over its size is the expected number of copies of each of its documents: the whole
 part is taken for certain, the fraction is a probability. The flight moves the fractions of three
 documents at a time along the null space of two constraints, the number of documents and their total
-size, until one is 0 or 1; both totals stay as they were. A chunk of a source ends with two fractions
-at most; these fly again among those of other chunks, until one chunk per source is left. Its last few
-fractions land on the zeros and ones that come nearest to the two totals.
+size, until one is 0 or 1; both totals stay as they were. A chunk of a source ends with a few fractions;
+these fly again among those of other chunks, until one chunk per source is left. Its last fractions land
+on the zeros and ones that come nearest to the two totals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,9 +22,10 @@ from tallymark.llm.common import WORD, map_columns, stored
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 CEILING = 2
-#: Documents of a source that fly together, about, and fractions that land together.
+#: Documents of a source that fly together, about; fractions that a chunk leaves, and that land together.
 CHUNK = 4096
-LANDING = 10
+LEFT = 8
+LANDING = 20
 #: Sources are planned by the driver; more raise an error.
 MAX_SOURCES = 10_000
 _NEAR = 1e-9
@@ -53,8 +53,8 @@ def targets_of(
 
 
 def _step(units: list[list], rng: np.random.Generator) -> None:
-    """Move the fractions of the last three units so that at least one becomes 0 or 1."""
-    three = units[-3:]
+    """Move the fractions of the first three units so that at least one becomes 0 or 1."""
+    three = units[:3]
     s1, s2, s3 = (u[1] for u in three)
     way = (s2 - s3, s3 - s1, s1 - s2) if not s1 == s2 == s3 else (1, -1, 0)
     ahead = min((1 - u[2]) / w if w > 0 else u[2] / -w for u, w in zip(three, way) if w)
@@ -66,22 +66,27 @@ def _step(units: list[list], rng: np.random.Generator) -> None:
 
 
 def _land(units: list[list]) -> None:
-    docs, size = sum(u[2] for u in units), sum(u[1] * u[2] for u in units)
-    best = min(
-        product((0.0, 1.0), repeat=len(units)),
-        key=lambda z: (
-            abs(size - sum(u[1] * x for u, x in zip(units, z))),
-            abs(docs - sum(z)),
-            z,
-        ),
-    )
-    for u, x in zip(units, best):
-        u[2] = x
+    """The zeros and ones whose size, and then number, come nearest to those of the fractions: all
+    combinations of one half of the units against all of the other."""
+
+    def choices(part: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, docs = np.zeros(1), np.zeros(1)
+        for u in part:
+            sizes, docs = np.append(sizes, sizes + u[1]), np.append(docs, docs + 1)
+        return sizes, docs
+
+    half = len(units) // 2
+    (size_a, docs_a), (size_b, docs_b) = choices(units[:half]), choices(units[half:])
+    gap = np.abs(size_a[:, None] + size_b - sum(u[1] * u[2] for u in units)).ravel()
+    odd = np.abs(docs_a[:, None] + docs_b - sum(u[2] for u in units)).ravel()
+    best = np.flatnonzero(gap <= gap.min() + _NEAR)
+    first, second = divmod(int(best[odd[best].argmin()]), len(size_b))
+    for i, u in enumerate(units):
+        u[2] = float(first >> i & 1 if i < half else second >> (i - half) & 1)
 
 
 def _flight(level: int, seed: int):
-    """Rows come sorted by (source_no, chunk) and falling size, so that small documents land; of a
-    chunk, a few units are held at a time."""
+    """Rows come sorted by (source_no, chunk, rank); of a chunk, a few units are held at a time."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         at, units, rng, final, done = None, [], None, False, []
@@ -112,10 +117,10 @@ def _flight(level: int, seed: int):
                     at, final = (source_no, chunk), chunks == 1
                     rng = np.random.Generator(np.random.Philox(key=[seed + level, (source_no << 40) + chunk]))
                 units.append([id_, size, fraction, chunks])
-                while len(units) > (LANDING if final else 2):
+                while len(units) > (LANDING if final else LEFT):
                     _step(units, rng)
-                    done.extend((at, u) for u in units[-3:] if u[2] in (0.0, 1.0))
-                    units[-3:] = [u for u in units[-3:] if u[2] not in (0.0, 1.0)]
+                    done.extend((at, u) for u in units[:3] if u[2] in (0.0, 1.0))
+                    units[:3] = [u for u in units[:3] if u[2] not in (0.0, 1.0)]
             yield emitted()
         end()
         yield emitted()
@@ -187,18 +192,19 @@ def mix_sources(
     most, level = max([p[-1] for p in plan], default=1), 0
     while True:
         ordered = waiting.repartition("source_no", "chunk").sortWithinPartitions(
-            "source_no", "chunk", F.desc("size"), F.xxhash64("id", "size", F.lit(level)), "id", "fraction"
+            "source_no", "chunk", F.xxhash64("id", "size", F.lit(level)), "id", "size", "fraction"
         )
         moved = stored(map_columns(ordered, _flight(level, seed), schema), "flight")
         results.append(moved.where("fraction IN (0, 1)"))
         if most <= 1:
             break
-        # what two chunks' worth leaves fits: CHUNK / 2 chunks with two fractions each become one
-        fewer = f"bigint(ceil(chunks / {CHUNK / 2}))"
+        # what this many chunks leave is about a chunk again
+        merged = max(2, CHUNK // LEFT)
+        fewer = f"bigint(ceil(chunks / {merged}))"
         waiting = moved.where("fraction NOT IN (0, 1)").selectExpr(
             "id", "source_no", f"pmod(chunk, {fewer}) AS chunk", "size", "fraction", f"{fewer} AS chunks"
         )
-        most, level = -(-most // (CHUNK // 2)), level + 1
+        most, level = -(-most // merged), level + 1
     taken = results[0]
     for more in results[1:]:
         taken = taken.unionByName(more)
