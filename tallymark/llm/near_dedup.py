@@ -37,7 +37,7 @@ TILE = 512
 _BITS = 9
 _BINS = 1 << _BITS
 #: Words whose hashes a worker keeps; a full cache starts anew.
-_MAX_WORDS = 500_000
+_MAX_WORDS = 100_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
