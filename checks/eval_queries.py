@@ -32,7 +32,7 @@ from tallymark.sources.scratch import scratch_folder
 from tallymark.streaming import live
 
 SEED = 42
-BUDGET = 20
+BUDGET = 200
 
 # --- prefix evaluation ----------------------------------------------------------------
 
@@ -517,14 +517,15 @@ def sta2(spark, sf_dir):
     )
 
 
-HOM_HASHES = ("splitmix64", "xxhash64", "murmurhash3")
+HOM_HASHES = ("splitmix64", "xxhash64", "murmurhash3", "siphash24")
+HOM_KS = (10, 14, 18)
 
 
 def _hom_sql() -> str:
     """Merge = serial holds, so the summary follows from the serial estimates."""
     parts = []
     for name in HOM_HASHES:
-        for k in (8, 12):
+        for k in HOM_KS:
             hashes = q.hashed("prs", "pair_index", "value", name, SEED)
             parts.append(
                 f"SELECT '{name}' AS hash, {k}::INT AS k, pair_index, estimate FROM "
@@ -552,7 +553,7 @@ def _with_sizes(rows: DataFrame, runs: DataFrame) -> DataFrame:
 
 def _homogeneous(spark, sf_dir) -> DataFrame:
     runs = line_runs(spark, sf_dir)
-    specs = [sketch("hllpp", k, hash=h, seed=SEED) for h in HOM_HASHES for k in (8, 12)]
+    specs = [sketch("hllpp", k, hash=h, seed=SEED) for h in HOM_HASHES for k in HOM_KS]
     pairs = _with_sizes(merge_eval.merge_pairs(runs, specs), runs).withColumns(
         {
             "namespace": F.lit("lines"),
@@ -574,12 +575,12 @@ def sta4(spark, sf_dir):
     "srt2_worst_cells",
     lambda: rounded_sql(
         f"SELECT * FROM ({_hom_sql()}) ORDER BY delta_rel_max DESC, delta_abs_max DESC, namespace, "
-        "rho, hash, k LIMIT 4",
+        "rho, hash, k LIMIT 10",
         _HOM_DOUBLES,
     ),
 )
 def srt2(spark, sf_dir):
-    return rounded(reports.worst_cells(_homogeneous(spark, sf_dir), 4))
+    return rounded(reports.worst_cells(_homogeneous(spark, sf_dir), 10))
 
 
 # --- heterogeneous merge --------------------------------------------------------------
@@ -1121,13 +1122,13 @@ def stm3(spark, sf_dir):
     sketches = build_sketches(events, ["node", "event_type"], "user_id", sketch("hll", 10))
     for node in (0, 1, 1):
         sketches.where(F.col("node") == node).write.mode("append").parquet(inbox)
-    messages = spark.readStream.schema(sketches.schema).parquet(inbox)
+    reader = spark.readStream.schema(sketches.schema).option("maxFilesPerTrigger", 1)
+    messages = reader.parquet(inbox)
     log = live.SketchLog(spark, scratch_folder(spark, "union"), ["event_type"])
     running = (
         live.live_union(messages, ["event_type"])
         .writeStream.outputMode("update")
         .option("checkpointLocation", scratch_folder(spark, "union-checkpoint"))
-        .option("maxFilesPerTrigger", 1)
         .foreachBatch(log.put)
         .trigger(availableNow=True)
         .start()

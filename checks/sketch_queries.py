@@ -694,21 +694,23 @@ def jon1(spark, sf_dir):
     return exact.pair_runs(line_runs(spark, sf_dir)).select("pair_index", "side", "value")
 
 
+# Fixed values of the test tables.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
 @query(
     "jon3_context_pairs",
-    """SELECT a.o_orderpriority AS left_name, b.o_orderpriority AS right_name, s AS strategy
+    f"""SELECT a.o_orderpriority AS left_name, b AS right_name, s AS strategy
         FROM (SELECT DISTINCT o_orderpriority FROM orders) a,
-        (SELECT DISTINCT o_orderpriority FROM orders) b, (VALUES ('reject'), ('direct')) t(s)
-        WHERE s = 'reject' OR a.o_orderpriority = b.o_orderpriority""",
+        (SELECT unnest({list(PRIORITIES)!r}) AS b), (VALUES ('reject'), ('direct')) t(s)
+        WHERE s = 'reject' OR a.o_orderpriority = b""",
 )
 def jon3(spark, sf_dir):
-    """Contexts named after the order priorities: a handful, crossed and filtered."""
-    names = [
-        r[0]
-        for r in table(spark, sf_dir, "orders").select("o_orderpriority").distinct().limit(1000).collect()
-    ]
-    contexts = [(name, 1, 10) for name in names]
-    pairs = grid.context_pairs(spark, contexts, contexts, ["reject", "direct"])
+    """Contexts named after the priorities found, against the list of priorities."""
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("left_hash")).distinct()
+    found = names.select("left_hash", F.lit(1).cast("bigint").alias("left_hash_seed"), F.lit(10).alias("left_k"))
+    known = [(name, 1, 10) for name in PRIORITIES]
+    pairs = grid.context_pairs(spark, found, known, ["reject", "direct"])
     return grid.legal_pairs(pairs).select(
         F.col("left_hash").alias("left_name"), F.col("right_hash").alias("right_name"), "strategy"
     )
@@ -723,12 +725,12 @@ def jon3(spark, sf_dir):
     + " UNION ALL ".join(
         f"SELECT l_returnflag, '{s.algo}' AS algorithm, '{s.params}' AS params, estimate FROM "
         + q.estimate(s.algo, "hs", FLAG, s.k, s.l)
-        for s in sweep_specs(ks=[4, 8, 12, 16, 18], ls=[8, 20, 31])
+        for s in sweep_specs()
     ),
 )
 def evl5(spark, sf_dir):
     """All algorithms and precisions from one scan and one shuffle of the raw rows."""
-    specs = sweep_specs(ks=[4, 8, 12, 16, 18], ls=[8, 20, 31])
+    specs = sweep_specs()
     rows = distinct_estimates(lines(spark, sf_dir), FLAG, "l_orderkey", specs)
     return rows.select("l_returnflag", "algorithm", "params", "estimate")
 

@@ -342,20 +342,16 @@ def reduce(regs: str, keys: list[str], k: int, to: int, naive: bool = False) ->
 
 
 def plan_points(n: str, budget: int) -> str:
-    """Subquery ``(i, t)``: the checkpoint plan of a stream of n elements.
+    """Subquery ``(i, t)``: the checkpoint plan of a stream of n elements, for any n.
 
-    ``n`` is a scalar subquery.  Valid where the two series offer at least ``budget``
-    different points, so that no gap has to be filled.
+    ``n`` is a scalar subquery, ``budget`` at least 2.
     """
-    head = max(2, budget // 3)
+    last = budget - 1
+    spare = f"(n - {budget})::HUGEINT"
+    early = f"{spare} * pow(2 * i, 4)::HUGEINT // {10 * last**4}"
+    late = f"{spare} * ({last} + 9 * (2 * i - {last})) // {10 * last}"
     return (
-        f"(WITH s AS (SELECT {n} AS n), "
-        f"e AS (SELECT n, least(n, greatest({head}, ceil(n * 0.01)))::BIGINT AS w FROM s), "
-        f"c AS (SELECT 1 + ((w - 1) * i) // {head - 1} AS t FROM e, range({head}) r(i) UNION "
-        f"SELECT least(n, ceil(w * pow(n / w::DOUBLE, j / {budget - 1}::DOUBLE)))::BIGINT "
-        f"FROM e, range({budget}) q(j) UNION SELECT 1 UNION SELECT n FROM s), "
-        f"o AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS pos, count(*) OVER () AS total "
-        f"FROM (SELECT DISTINCT t::BIGINT AS t FROM c)) "
-        f"SELECT i, o.t FROM range({budget}) x(i) JOIN o ON o.pos = "
-        f"floor(i * (o.total - 1) / {budget - 1}::DOUBLE + 0.5))"
+        f"(SELECT i, (CASE WHEN n <= {budget} THEN 1 + i WHEN 2 * i <= {last} "
+        f"THEN 1 + i + {early} ELSE 1 + i + {late} END)::BIGINT AS t "
+        f"FROM (SELECT {n} AS n) s, range({budget}) r(i) WHERE i < n)"
     )

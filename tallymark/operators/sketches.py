@@ -274,11 +274,19 @@ def pack_registers(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     refused = F.raise_error(F.lit("only dense register sketches can be packed")).cast("boolean")
     sketches = sketches.where(F.when(dense, F.lit(True)).otherwise(refused))
     filled = F.array_sort(F.collect_list(F.struct("idx", "rho")))
-    grouped = sketches.groupBy(*keys, *IDENTITY).agg(F.map_from_entries(filled).alias("__m"))
-    ranks = F.transform(
-        F.sequence(F.lit(0), b.shift_left(F.lit(1), F.col("res")) - 1),
-        lambda i: F.coalesce(F.try_element_at(F.col("__m"), i), F.lit(0)).cast("tinyint"),
+    grouped = sketches.groupBy(*keys, *IDENTITY).agg(filled.alias("__m"))
+    # Each touched register brings the zeros before it, so the work is one pass over the array.
+    zero, size = F.lit(0).cast("tinyint"), b.shift_left(F.lit(1), F.col("res"))
+    before = F.concat(F.array(F.lit(-1)), F.transform("__m", lambda r: r["idx"]))
+    pieces = F.zip_with(
+        F.col("__m"),
+        F.slice(before, 1, F.size("__m")),
+        lambda r, prior: F.concat(
+            F.array_repeat(zero, r["idx"] - prior - 1), F.array(r["rho"].cast("tinyint"))
+        ),
     )
+    rest = F.array_repeat(zero, (size - 1 - F.element_at("__m", -1)["idx"]).cast("int"))
+    ranks = F.concat(F.flatten(pieces), rest)
     return grouped.withColumn("registers", ranks).drop("__m")
 
 

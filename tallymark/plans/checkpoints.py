@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -12,11 +11,12 @@ DEFAULT_BUDGET = 200
 
 
 def checkpoint_plan(n: int, budget: int = DEFAULT_BUDGET) -> list[int]:
-    """At most ``budget`` positions in 1..n, always with 1 and n, denser at the start.
+    """``budget`` positions in 1..n, always with 1 and n, denser at the start.
 
-    A third of the budget lies evenly in the first hundredth of the stream, the rest grows
-    geometrically.  Surplus points are thinned evenly by rank; missing ones are put into the
-    middle of the widest gaps.
+    The position of rank i is ``1 + i`` plus its part of the ``n - budget`` positions that are
+    left out, so positions always rise.  That part grows with the fourth power of the rank over
+    the first half of the ranks, which lie in the first tenth of the stream, and evenly over the
+    second half.  A stream no longer than the budget has all its positions, a budget of one the last.
     """
     if n <= 0 or budget <= 0:
         return []
@@ -24,31 +24,14 @@ def checkpoint_plan(n: int, budget: int = DEFAULT_BUDGET) -> list[int]:
         return [n]
     if n <= budget:
         return list(range(1, n + 1))
-    head_count = max(2, budget // 3)
-    head_end = min(n, max(head_count, math.ceil(n * 1e-2)))
-    head = {1 + (head_end - 1) * i // (head_count - 1) for i in range(head_count)}
-    growth = n / head_end
-    tail = {
-        min(n, math.ceil(head_end * growth ** (i / (budget - 1)))) for i in range(budget)
-    }
-    points = sorted(head | tail | {1, n})
-    if len(points) > budget:
-        points = _thin(points, budget)
-    while len(points) < budget:
-        gap, at = max(((b - a), -i) for i, (a, b) in enumerate(zip(points, points[1:])))
-        if gap <= 1:
-            break
-        points.insert(1 - at, points[-at] + gap // 2)
-    return points
-
-
-def _thin(points: list[int], budget: int) -> list[int]:
-    last = len(points) - 1
-    ranks = [0]
-    for i in range(1, budget - 1):
-        nearest = math.floor(i * last / (budget - 1) + 0.5)
-        ranks.append(min(max(nearest, ranks[-1] + 1), last - (budget - 1 - i)))
-    return [points[r] for r in [*ranks, last]]
+    return [1 + i + _left_out(n - budget, i, budget - 1) for i in range(budget)]
+
+
+def _left_out(spare: int, i: int, last: int) -> int:
+    """Positions passed over before rank ``i`` of 0..last, in whole numbers throughout."""
+    if 2 * i <= last:
+        return spare * (2 * i) ** 4 // (10 * last**4)
+    return spare * (last + 9 * (2 * i - last)) // (10 * last)
 
 
 def interval_of(position: Column, checkpoints: Sequence[int]) -> Column:

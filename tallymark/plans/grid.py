@@ -118,11 +118,15 @@ def legal_pairs(pairs: DataFrame, strict: bool = False) -> DataFrame:
 
 def context_pairs(
     spark: SparkSession,
-    left: Sequence[tuple[str, int, int]],
+    left: Sequence[tuple[str, int, int]] | DataFrame,
     right: Sequence[tuple[str, int, int]],
     strategies: Sequence[str],
 ) -> DataFrame:
-    """Every left context with every right one and every strategy."""
+    """Every left context with every right one and every strategy.
+
+    ``left`` may be a frame ``left_hash, left_hash_seed, left_k`` of any size; the right side is
+    a parameter list that each of its rows is unfolded by.
+    """
     rights = [
         F.struct(
             F.lit(name).alias("right_hash"),
@@ -131,7 +135,10 @@ def context_pairs(
         )
         for name, seed, k in right
     ]
-    lefts = local_frame(spark, left, "left_hash string, left_hash_seed bigint, left_k int")
+    if isinstance(left, DataFrame):
+        lefts = left.select("left_hash", "left_hash_seed", "left_k")
+    else:
+        lefts = local_frame(spark, left, "left_hash string, left_hash_seed bigint, left_k int")
     paired = lefts.select("*", F.inline(F.array(*rights)))
     return paired.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import bits as b
@@ -124,6 +124,12 @@ def _exact_pairs(paired: DataFrame) -> DataFrame:
     )
 
 
+def _pair_count(runs: DataFrame, run_count: int | None) -> Column:
+    """Pairs of runs that have a value, as a scalar subquery."""
+    paired = pair_runs(runs, run_count).where(F.col("value").isNotNull())
+    return paired.select(F.count_distinct("pair_index")).scalar()
+
+
 def merge_eval(
     runs: DataFrame,
     specs: Sequence[SketchSpec],
@@ -135,10 +141,9 @@ def merge_eval(
 ) -> DataFrame:
     """The merge evaluation in the columns of the merge result files, plus the hash."""
     points = merge_pairs(runs, specs, run_count, mode, bias_points)
-    config = Window.partitionBy("algorithm", "params", "hash", "hash_seed")
     named = points.withColumns(
         {
-            "pairs": F.count(F.lit(1)).over(config),
+            "pairs": _pair_count(runs, run_count),
             "mode": F.lit("merge"),
             "sample_size": F.lit(sample_size).cast("bigint"),
             "seed": F.lit(seed).cast("bigint"),
@@ -331,12 +336,11 @@ def heterogeneous_eval(
 ) -> DataFrame:
     """The heterogeneous evaluation in the columns of its result files, plus the scenario."""
     points = heterogeneous_pairs(runs, cases, run_count, mode, bias_points)
-    per_case = Window.partitionBy("case_id")
     named = points.withColumns(
         {
             "algorithm": F.lit("HyperLogLog++"),
             "mode": F.lit("merge_heterogeneous"),
-            "pairs": F.count(F.lit(1)).over(per_case),
+            "pairs": _pair_count(runs, run_count),
             "sample_size": F.lit(sample_size).cast("bigint"),
             "dataset_seed": F.lit(dataset_seed).cast("bigint"),
             "topology": F.lit("pairwise"),

@@ -147,11 +147,13 @@ def write_table(df: DataFrame, path: str, format: str = "csv") -> None:
 def load_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """All result files of one kind below ``path`` as one frame with ``source_path``.
 
-    The schema is explicit, files are found recursively, and ``nan`` is read as NaN.
+    The schema is explicit and has to match each file's header; a row that does not fit it makes
+    the query fail.  Files are found recursively, and ``nan`` is read as NaN.
     """
     reader = spark.read.schema(SCHEMAS[kind]).options(
         header=True, recursiveFileLookup=True, quote='"', escape='"', nanValue="nan",
-        positiveInf="inf", negativeInf="-inf", pathGlobFilter="*.csv",
+        positiveInf="inf", negativeInf="-inf", pathGlobFilter="*.csv", mode="FAILFAST",
+        enforceSchema=False,
     )
     frame = reader.csv(path)
     return frame.select("*", F.col("_metadata.file_path").alias("source_path"))

@@ -146,3 +146,22 @@ def test_prefix_reports(spark):
     assert [(r.rho_t, r.progress_pct, r.is_boundary) for r in curve][0] == (2.0, 25.0, True)
     wide = reports.pivot_metric(ends, ["rho"], "param_value", [10, 12], "endpoint_mre").first()
     assert (wide["10"], wide["12"]) == (0.2, 0.1)
+
+
+def test_malformed_result_files_fail(spark, tmp_path):
+    from tallymark.sources.results import columns_of, load_results
+
+    header = ",".join(columns_of("merge"))
+    good, bad, other = tmp_path / "good", tmp_path / "bad", tmp_path / "other"
+    row = "X,k=10,merge,{},1,0,42,1.5,1.5,0,0"
+    for folder, text in (
+        (good, f"{header}\n{row.format(3)}\n"),
+        (bad, f"{header}\n{row.format('notanumber')}\n"),
+        (other, f"{header.replace('pairs', 'runs')}\n{row.format(3)}\n"),
+    ):
+        folder.mkdir()
+        (folder / "results.csv").write_text(text)
+    assert load_results(spark, str(good), "merge").first().pairs == 3
+    for folder in (bad, other):
+        with pytest.raises(Exception):
+            load_results(spark, str(folder), "merge").collect()

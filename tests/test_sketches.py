@@ -130,6 +130,14 @@ def test_pack_and_unpack(data):
     assert content(back) == content(rows)
 
 
+def test_pack_of_the_finest_sketch(spark):
+    rows = build_sketches(spark.range(300_000), [], "id", sketch("hllpp", 18))
+    packed = pack_registers(rows, []).collect()
+    assert len(packed) == 1 and len(packed[0].registers) == 1 << 18
+    want = {r.idx: r.rho for r in rows.collect()}
+    assert {i: r for i, r in enumerate(packed[0].registers) if r} == want
+
+
 def test_rollup_from_a_stored_table(spark, data, tmp_path):
     path = str(tmp_path / "sketches")
     build_sketches(data, ["part"], "v", sketch("hllpp", 11)).write.parquet(path)
