@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from tallymark.llm.common import map_columns
 
 #: Entries of the caches of pieces and of token pairs in a Python worker; full caches start anew.
-MAX_PIECES = 600_000
-MAX_PAIRS = 1_000_000
+MAX_PIECES = 300_000
+MAX_PAIRS = 300_000
 #: Texts above this many characters are split lazily, not into one list.
 LAZY_CHARS = 1 << 22
+#: Ids that are gathered before rows go out.
+_TOGETHER = 1 << 20
 
 
 def merged(piece: bytes, ranks: dict[bytes, int], below: float = float("inf")) -> list[bytes]:
@@ -179,16 +181,22 @@ def encode_documents(
     def run(batches):
         bpe = codec(raw, pattern)
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")}
-            for text in batch["text"]:
+            out: dict[str, list] = {n: [] for n in ("id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")}
+            held = 0
+            for id_, text in zip(batch["id"], batch["text"]):
                 packed = b"".join(bpe.encode(text or ""))
-                ids = np.frombuffer(packed, dtype="<u4").tolist()
+                ids = np.frombuffer(packed, dtype="<u4")
+                out["id"].append(id_)
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
                 if keep_ids:
-                    out["ids"].append(ids)
-            yield out | {"id": batch["id"]}
+                    out["ids"].append(ids.astype(np.int64))
+                    held += len(ids)
+                if held >= _TOGETHER:
+                    yield out
+                    out, held = {n: [] for n in out}, 0
+            yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, {'ids array<bigint>, ' if keep_ids else ''}ids_sha256 string, decoded_sha256 string"
