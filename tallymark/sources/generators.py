@@ -53,25 +53,32 @@ def permute(
     return chain.finish(out, at)
 
 
+#: What the shape of a stream has to keep to, and what is said where it does not.
+UNIFORM_RULES = {
+    "distinct values have to fit the 32-bit id range": lambda n, d, p: d <= ID_DOMAIN,
+    "there cannot be more distinct values than elements": lambda n, d, p: d <= n,
+    "a stream with elements has at least one distinct value": lambda n, d, p: d > 0 or n <= 0,
+    "n and d cannot be negative": lambda n, d, p: min(n, d) >= 0,
+    "there has to be at least one run": lambda n, d, p: p >= 1,
+}
+CONSTANT_RHO_RULES = UNIFORM_RULES | {
+    "n and d have to be positive": lambda n, d, p: min(n, d) > 0,
+    "n has to be a multiple of d": lambda n, d, p: d <= 0 or n % d == 0,
+}
+
+
+def _check(rules: dict, n: int, d: int, p: int) -> None:
+    broken = [said for said, holds in rules.items() if not holds(n, d, p)]
+    if broken:
+        raise ValueError("; ".join(broken))
+
+
 def check_uniform(n: int, d: int, p: int) -> None:
-    if n < 0 or d < 0:
-        raise ValueError("n and d cannot be negative")
-    if p <= 0:
-        raise ValueError("there has to be at least one run")
-    if d > n:
-        raise ValueError("there cannot be more distinct values than elements")
-    if d == 0 and n > 0:
-        raise ValueError("a stream with elements has at least one distinct value")
-    if d > min(n, ID_DOMAIN):
-        raise ValueError("distinct values have to fit the 32-bit id range")
+    _check(UNIFORM_RULES, n, d, p)
 
 
 def check_constant_rho(n: int, d: int, p: int) -> None:
-    if n <= 0 or d <= 0:
-        raise ValueError("n and d have to be positive")
-    check_uniform(n, d, p)
-    if n % d:
-        raise ValueError("n has to be a multiple of d")
+    _check(CONSTANT_RHO_RULES, n, d, p)
 
 
 def positions(spark: SparkSession, n: int, p: int) -> DataFrame:
