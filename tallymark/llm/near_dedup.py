@@ -15,6 +15,7 @@ lost, and groups that hang together by their centre never become all their pairs
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import mixed, stored
+from tallymark.llm.common import map_columns, mixed, stored
 from tallymark.llm.components import connected_components
 
 WORDS = 5
@@ -38,6 +39,8 @@ _BITS = 9
 _BINS = 1 << _BITS
 #: Words whose hashes a worker keeps; a full cache starts anew.
 _MAX_WORDS = 100_000
+#: Shingles that are gathered before sets go out.
+_TOGETHER = 1 << 19
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -133,18 +136,25 @@ def _sketch_of(text: Column, words: int) -> Column:
     return F.arrow_udf(make, _SKETCH)(text)
 
 
-def _set_of(text: Column, words: int) -> Column:
-    def make(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(value.as_py() or "", words) for value in texts]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([node_of(s) for s in sets], pa.binary()),
-                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ],
-            ["node", "shingles"],
-        )
+def _sets_of(rows: DataFrame, words: int) -> DataFrame:
+    """(wanted, node, shingles) of rows (wanted, text), handed on in batches of bounded size."""
 
-    return F.arrow_udf(make, _SET)(text)
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            out: dict[str, list] = {"wanted": [], "node": [], "shingles": []}
+            held = 0
+            for wanted, text in zip(batch["wanted"], batch["text"]):
+                found = shingle_set(text or "", words)
+                out["wanted"].append(wanted)
+                out["node"].append(node_of(found))
+                out["shingles"].append(found.view(np.int64))
+                held += len(found)
+                if held >= _TOGETHER:
+                    yield out
+                    out, held = {n: [] for n in out}, 0
+            yield out
+
+    return map_columns(rows.select("wanted", "text"), run, f"wanted binary, {_SET}")
 
 
 def node_column(text: Column, words: int) -> Column:
@@ -268,11 +278,10 @@ def near_duplicates(
 
     wanted = starred.select("node").distinct().join(nodes.select("node", "id"), "node")
     sets = stored(
-        rows.join(wanted.withColumnRenamed("node", "wanted"), "id")
-        .select("wanted", _set_of(F.col("text"), words).alias("made"))
-        .where("made.node = wanted")
-        .groupBy(F.col("wanted").alias("node"))
-        .agg(F.first("made.shingles").alias("shingles")),
+        _sets_of(rows.join(wanted.withColumnRenamed("node", "wanted"), "id"), words)
+        .where("node = wanted")
+        .groupBy("node")
+        .agg(F.first("shingles").alias("shingles")),
         "shingles",
     )
     star = starred.where("node <> centre").selectExpr("centre AS a", "node AS b")
