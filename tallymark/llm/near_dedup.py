@@ -34,6 +34,8 @@ BANDS = 42
 ROWS = 6
 #: Members of a star that meet as many others at a time.
 TILE = 512
+#: Tasks among which the members of a star are dealt.
+SALTS = 16
 
 _BITS = 9
 _BINS = 1 << _BITS
@@ -189,7 +191,8 @@ def _open_links(near: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     block = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("bound_blocks")).otherwise(F.col("loose_blocks")))
     placed = (
         near.select(F.col("a").alias("centre"), F.col("b").alias("node"), "distance", "linked")
-        .join(crowd, "centre")
+        .withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        .join(crowd.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["centre", "salt"])
         .withColumn("block", block.cast("int"))
         .join(labels, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
