@@ -19,7 +19,7 @@ from checks.registry import (
 from tallymark.functions import bits as b
 from tallymark.functions import errors, estimators, labels
 from tallymark.functions.bias import subtract_bias
-from tallymark.functions.hashing import hash32, resolve_hash, with_hash
+from tallymark.functions.hashing import hash32, register_hash, resolve_hash, with_hash
 from tallymark.operators import exact, extend, sketches, sparse
 from tallymark.operators.cells import levels, registers, summarize
 from tallymark.operators.estimate import distinct_estimates
@@ -771,3 +771,28 @@ def udx1(spark, sf_dir):
     return extend.estimate_custom(extend.merge_custom(built, FLAG, name), FLAG, name)
 
 
+
+
+def _md5_top(df: DataFrame, value: str, seed: int, out: str) -> DataFrame:
+    """The first 64 bits of the MD5 of ``seed:value``, as an example of an own hash."""
+    text = F.concat(F.lit(f"{seed}:"), F.col(value).cast("string"))
+    return df.withColumn(out, F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("bigint"))
+
+
+register_hash("md5top", _md5_top)
+
+
+@query(
+    "udx2_custom_hash",
+    lambda: "SELECT * FROM "
+    + q.estimate(
+        "hll",
+        """(SELECT l_returnflag, l_suppkey,
+            ('0x' || substr(md5('7:' || l_orderkey::BIGINT::VARCHAR), 1, 16))::UBIGINT AS h
+            FROM lineitem WHERE l_orderkey IS NOT NULL)""",
+        FLAG,
+        12,
+    ),
+)
+def udx2(spark, sf_dir):
+    return _one(spark, sf_dir, FLAG, sketch("hll", 12, hash="md5top", seed=7))
