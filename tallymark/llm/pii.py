@@ -73,11 +73,29 @@ _DIGITS = "0123456789"
 _SETS = (_DIGITS, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
+#: Most values of a number that is permuted as one: the halves of its network fit a round's 128 bits.
+_MOST = 1 << 256
+
+_QUOTE, _BLANKS = r"\\?[\"'`]", r"[^\S\r\n]*+"
+#: A key, quoted or not, and its sign; the value may stand on the next line.
+_KEY = (
+    r"(?i)\b(?:password|passwd|pwd|secret|api[_-]?key|token)"
+    rf"(?:{_QUOTE})?{_BLANKS}(?::=|=>|[=:]){_BLANKS}(?:(?:\r\n?|\n){_BLANKS})?"
+)
+_HEAD = re.compile(rf"{_KEY}(?:{_QUOTE})?")
+#: Hexadecimal values stay so; a form is its name, its character sets and its pattern.
+_FORMS = (
+    ("hex", ("0123456789abcdef",), re.compile(r"[0-9a-f]+")),
+    ("HEX", ("0123456789ABCDEF",), re.compile(r"[0-9A-F]+")),
+    ("secret", _SETS, re.compile(r"(?s).*")),
+)
 
 #: What a candidate looks like; whether it is one is decided by its check.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?i)\b(?:password|passwd|pwd|secret|api[_-]?key|token)\s?[=:]\s?[A-Za-z0-9_./+-]{6,}",
+    # up to the closing quote of the line; without one, or without quotes, up to a blank or another sign
+    "secret": rf"{_KEY}(?:({_QUOTE})(?:(?!\1)(?:\\.|[^\r\n\\])){{6,512}}+(?=\1)"
+    rf"|({_QUOTE})(?:(?!\2)(?:\\\S|[^\s\\])){{6,}}|[A-Za-z0-9_./+-]{{6,}})",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d]|[./-]\d)",
@@ -108,19 +126,30 @@ class Pseudonyms:
         return permutation.undo(x) if undo else permutation.apply(x)
 
     def characters(self, kind: str, text: str, undo: bool, sets: tuple[str, ...] = _SETS) -> str:
-        """Every character of ``sets`` becomes one of the same set, all places permuted as one number."""
-        places = [(i, s) for i, c in enumerate(text) for s in sets if c in s]
-        x, size = 0, 1
-        for i, s in places:
-            x, size = x * len(s) + s.index(text[i]), size * len(s)
-        if size < 2:
-            return text
+        """Every character of ``sets`` becomes one of the same set, all places permuted as one number, or
+        as several where one would have more than ``_MOST`` values."""
         frame = "".join(next((s[0] for s in sets if c in s), c) for c in text)
-        x = self.number(f"{kind}/{frame}", x, size, undo)
+        if len(frame) > 256:
+            frame = hashlib.sha256(frame.encode("utf-8", "surrogatepass")).hexdigest()
         out = list(text)
-        for i, s in reversed(places):
-            x, rest = divmod(x, len(s))
-            out[i] = s[rest]
+        places: list[tuple[int, str]] = []
+        x, size, part = 0, 1, 0
+
+        def permute() -> None:
+            if size < 2:
+                return
+            rest = self.number(f"{kind}/{frame}/{part}" if part else f"{kind}/{frame}", x, size, undo)
+            for i, s in reversed(places):
+                rest, place = divmod(rest, len(s))
+                out[i] = s[place]
+
+        for i, s in ((i, s) for i, c in enumerate(text) for s in sets if c in s):
+            if size * len(s) > _MOST:
+                permute()
+                places, x, size, part = [], 0, 1, part + 1
+            places.append((i, s))
+            x, size = x * len(s) + s.index(text[i]), size * len(s)
+        permute()
         return "".join(out)
 
     def _email(self, text: str, undo: bool) -> str | None:
@@ -131,10 +160,13 @@ class Pseudonyms:
         return f"{self.characters('email', f'{local}@{host}', undo)}.{end}"
 
     def _secret(self, text: str, undo: bool) -> str:
-        name, value = re.fullmatch(r"(\w+?(?:[_-]\w+)?\s?[=:]\s?)(.*)", text).groups()
-        if re.fullmatch(r"[0-9a-f]+", value):
-            return name + self.characters("hex", value, undo, ("0123456789abcdef",))
-        return name + self.characters("secret", value, undo)
+        head = _HEAD.match(text).group()
+        value = text[len(head) :]
+        form = _form(value)
+        while True:
+            value = self.characters(form[0], value, undo, form[1])
+            if _form(value) == form:  # another form would be undone as that form
+                return head + value
 
     def _iban(self, text: str, undo: bool) -> str | None:
         plain = text.replace(" ", "")
@@ -215,6 +247,11 @@ class Pseudonyms:
                 continue
             for match in self.pattern[kind].finditer(text):
                 start, end = match.span()
+                if kind == "secret":  # what looks like an address inside a quoted secret is a part of it
+                    inside = {(a, b) for a, b in taken if start <= a and b <= end}
+                    if inside:
+                        found = [f for f in found if f[:2] not in inside]
+                        taken = [t for t in taken if t not in inside]
                 if any(start < b and a < end for a, b in taken):
                     continue
                 made = self.pseudonym(kind, match.group(), undo)
@@ -229,6 +266,10 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), [(a, b - a, kind) for a, b, kind, _ in found]
 
 
+def _form(value: str) -> tuple:
+    return next(form for form in _FORMS if form[2].fullmatch(value))
+
+
 def _refilled(shape: str, characters: str) -> str:
     """The letters and digits of ``shape`` replaced in order, its separators kept."""
     rest = iter(characters)

@@ -102,6 +102,35 @@ def test_what_fails_its_check_stays():
     assert Pseudonyms(b"key").replace(text) == (text, [])
 
 
+@pytest.mark.parametrize(
+    "head, secret, tail",
+    [
+        ('token = "', "2321bac4e3e49cf46b2d7c90f3602a3d0b907ff1", '"###'),
+        ('TOKEN = "', "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", '"!!'),
+        ('{"api_key":   "', "Zx9_Lm-42.Qp/7", '", "n": 1}'), ("'password' => '", 'it is jo@a.de "1st"', "'"),
+        ("pwd := `", "correct horse 9", "`"), ('{\\"secret\\": \\"', "b7db7aa4a5fcc78305", '\\"}'),
+        ("password:\n    ", "Hunter2Hunter", " end"), ('token = "', "a1B2c3D4" * 50, '"'),
+    ],
+)
+def test_secrets_in_quotes(head, secret, tail):
+    maker = Pseudonyms(b"key")
+    whole = f"say {head}{secret}{tail} end"
+    text, spans = maker.replace(whole)
+    start = 4 + len(head)
+    made = text[start : start + len(secret)]
+    assert [s[2] for s in spans] == ["secret"] and spans[0][0] + spans[0][1] == start + len(secret)
+    assert text[:start] == whole[:start] and text[start + len(secret) :] == whole[start + len(secret) :]
+    assert all(made[i : i + 12] != secret[i : i + 12] for i in range(0, len(secret) - 5, 12))
+    if secret.isalnum() and secret.upper() == secret:
+        assert set(made) <= set("0123456789ABCDEF")
+    assert maker.replace(text, undo=True)[0] == whole
+
+
+def test_no_secret_without_a_value():
+    text = 'token = "", "user": "nobody", secret: "abc", a token "without a sign"'
+    assert Pseudonyms(b"key").replace(text) == (text, [])
+
+
 def test_values_stay_linked_across_documents(docs_of, odd_docs):
     rows = [(i, f"doc {i} has {VALUES[i % 4][1]} in it") for i in range(12)]
     got = {r.doc_id: r for r in pseudonymise_documents(docs_of(rows), b"key").collect()}
