@@ -12,7 +12,7 @@ import datetime
 import hashlib
 import hmac
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -104,6 +104,14 @@ PATTERNS: dict[str, str] = {
     r"|(?<![\w+])\+\d{8,15}(?!\d)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
+#: Numbers may stand beside a card or an IBAN, so these are also looked for inside longer runs: at every
+#: group that an IBAN can begin with, up to every blank, and in every window of groups as on a card.
+_IBANS = re.compile(rf"(?={PATTERNS['iban'][:2]}({PATTERNS['iban'][2:]}))")
+_RUN = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])")
+_CARD_GROUPS = {
+    *((n,) for n in range(13, 20)), *((4, 4, 4, n) for n in range(1, 5)), (4, 4, 4, 4, 3),
+    (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (8, 8), (6, 13),
+}
 #: The kinds above in the order in which they claim a place; a card's groups are no phone number.
 ORDER = ("email", "secret", "iban", "card", "ip", "date", "ssn", "phone")
 
@@ -238,15 +246,48 @@ class Pseudonyms:
             self.made[key] = getattr(self, f"_{kind}")(text, undo)
         return self.made[key]
 
-    def replace(self, text: str, undo: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-        """The text with pseudonyms, and (start, length, kind) of each, by place."""
+    def candidates(self, kind: str, text: str) -> Iterator[tuple[int, int]]:
+        """Places of ``kind``, the better ones first where they overlap."""
+        if kind == "iban":
+            for match in _IBANS.finditer(text):
+                (start, end), first = match.span(1), match.start(1) + 12
+                while end >= first:
+                    yield start, end
+                    end = text.rfind(" ", start, end)
+        if kind == "card":
+            windows = []
+            for run in _RUN.finditer(text):
+                groups = [g.span() for g in re.finditer(r"\d+", run.group())]
+                for i, (start, _) in enumerate(groups):
+                    sizes: tuple[int, ...] = ()
+                    for a, end in groups[i : i + 5]:
+                        sizes += (end - a,)
+                        if sizes in _CARD_GROUPS:
+                            windows.append((run.group()[start], sizes, run.start() + start, run.start() + end))
+            # the first digit, which stays: 3 to 6 on most cards, 6 on those of 19 digits; years have 1 or 2
+            windows.sort(key=lambda w: (w[0] not in "3456", len(w[1]) == 5 and w[0] != "6", -sum(w[1]), w[2]))
+            for _, _, start, end in windows:
+                yield start, end
+        if kind != "iban":
+            for match in self.pattern[kind].finditer(text):
+                yield match.span()
+
+    def replace(
+        self, text: str, undo: bool = False, spans: list[tuple[int, int, str]] | None = None
+    ) -> tuple[str, list[tuple[int, int, str]]]:
+        """The text with pseudonyms, and (start, length, kind) of each, by place. With ``spans``, the
+        values at these places and no others: a number beside a card may by chance look like a part of
+        its pseudonym, so only the spans tell for certain what is to be undone."""
         found: list[tuple[int, int, str, str]] = []
         taken: list[tuple[int, int]] = []
-        for kind in ORDER:
+        for start, length, kind in spans or ():
+            made = self.pseudonym(kind, text[start : start + length], undo)
+            if made is not None:
+                found.append((start, start + length, kind, made))
+        for kind in ORDER if spans is None else ():
             if kind == "email" and "@" not in text:
                 continue
-            for match in self.pattern[kind].finditer(text):
-                start, end = match.span()
+            for start, end in self.candidates(kind, text):
                 if kind == "secret":  # what looks like an address inside a quoted secret is a part of it
                     inside = {(a, b) for a, b in taken if start <= a and b <= end}
                     if inside:
@@ -254,9 +295,11 @@ class Pseudonyms:
                         taken = [t for t in taken if t not in inside]
                 if any(start < b and a < end for a, b in taken):
                     continue
-                made = self.pseudonym(kind, match.group(), undo)
-                if made is not None and made != match.group():
+                made = self.pseudonym(kind, text[start:end], undo)
+                if made is not None and made != text[start:end]:
                     found.append((start, end, kind, made))
+                    if kind in ("iban", "card"):  # the places of other kinds do not overlap
+                        taken.append((start, end))
             taken = [f[:2] for f in found]
         found.sort()
         out, at = [], 0
@@ -312,7 +355,8 @@ def pseudonymise_documents(
 
     Lengths do not change, so the spans hold in both texts. A null text stays null, an empty one empty,
     both with n_found 0; null ids and repeated rows give rows of their own; equal values get equal
-    pseudonyms everywhere. ``key`` is the caller's secret; whoever has it can restore the values.
+    pseudonyms everywhere. ``key`` is the caller's secret; whoever has it and the spans can restore the
+    values. A card or IBAN is found beside other groups, too, if it is grouped as cards are or ends at a blank.
     """
     return docs.select(
         F.col(id_col), pseudonymised(F.col(text_col), key).alias("made")

@@ -131,6 +131,35 @@ def test_no_secret_without_a_value():
     assert Pseudonyms(b"key").replace(text) == (text, [])
 
 
+NEIGHBOURS = [
+    ("card", "", "4539148803436467", " 12/25"), ("card", "order 12 ", "4539148803436467", ""),
+    ("card", "12 34 ", "4539 1488 0343 6467", " 99 88"), ("card", "2024-", "4539-1488-0343-6467", "-123"),
+    ("card", "7 ", "3782 822463 10005", " 09/27"), ("card", "ids 1234567 ", "4539148803436467", " 7654321, "),
+    ("card", "DE89 3704 0044 0532 0130 00 ", "4539148803436467", " 12"),
+    ("iban", "", "AT61 1904 3002 3457 3201", " USD"), ("iban", "to ", "AT611904300234573201", " EUR"),
+    ("iban", "REF1 XX12 ", "AT61 1904 3002 3457 3201", " BANK 12"), ("iban", "AB12 ABCD EFGH IJKL ", "AT61 1904 3002 3457 3201", ""),
+]
+
+
+@pytest.mark.parametrize("kind, before, value, after", NEIGHBOURS)
+def test_cards_and_ibans_beside_other_groups(kind, before, value, after):
+    maker = Pseudonyms(b"key")
+    text, spans = maker.replace(before + value + after)
+    place = (len(before), len(value), kind)
+    assert place in spans and text.endswith(after)
+    assert text[place[0] :][: place[1]] == maker.replace(value)[0] != value
+    assert before.startswith("DE89") or (text.startswith(before) and spans == [place])
+    assert maker.replace(text, undo=True, spans=spans)[0] == before + value + after
+
+
+def test_several_cards_of_one_run():
+    maker = Pseudonyms(b"key")
+    cards = ["4539148803436467", "4111 1111 1111 1111", "378282246310005"]
+    text, spans = maker.replace("12 " + " 34 ".join(cards) + " 56")
+    assert text == "12 " + " 34 ".join(maker.replace(c)[0] for c in cards) + " 56"
+    assert [s[1] for s in spans] == [len(c) for c in cards]
+
+
 def test_values_stay_linked_across_documents(docs_of, odd_docs):
     rows = [(i, f"doc {i} has {VALUES[i % 4][1]} in it") for i in range(12)]
     got = {r.doc_id: r for r in pseudonymise_documents(docs_of(rows), b"key").collect()}
