@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.byte_bpe import encode_documents
 from tallymark.llm.common import WORD, stored, table
-from tallymark.llm.language_id import UNKNOWN, language_of, train_prototypes
+from tallymark.llm.language_id import DIMENSIONS, UNKNOWN, language_of, train_prototypes
 from tallymark.llm.mixing import mix_sources
 from tallymark.llm.near_dedup import WORDS, near_duplicates, node_column
 from tallymark.llm.pii import pseudonymised
@@ -16,14 +17,12 @@ from tallymark.llm.queries import PII_KEY
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: a text without letters goes, and so does one that resembles no
-    learnt language at all (a cosine of 0). Profiles are learnt from the declared languages."""
-    found = language_of(F.col("text"), train_prototypes(docs))
-    return (
-        docs.withColumn("__found", found)
-        .where((F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") > 0))
-        .drop("__found")
-    )
+    """Documents with a language: a null text and one without letters go. Profiles are learnt from the
+    declared languages. A text in another language stays whatever its cosines, which are noise around 0;
+    where no language is declared, every text with letters stays."""
+    learnt = train_prototypes(docs.where(F.col("lang") != UNKNOWN))
+    found = language_of(F.col("text"), learnt or {"any": np.ones(DIMENSIONS)})
+    return docs.where(found["lang_pred"] != UNKNOWN)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 
@@ -38,6 +40,17 @@ def test_stages_on_odd_documents(spark, odd_docs, docs_of):
         assert empty.count() == 0
 
 
+@pytest.mark.parametrize("declared", ["en", None, "und"])
+def test_texts_in_undeclared_languages_stay(spark, docs_of, declared):
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(2, 9)))
+    text = lambda letters: " ".join(word(letters) for _ in range(30))
+    rows = [(i, text("abcdefghij"), declared) for i in range(40)]
+    rows += [(100 + i, text("αβγδεζηθικλμνξοπ" if i % 2 else "абвгдежзиклмнопр"), None) for i in range(80)]
+    got = corpus_pipeline.known_language(spark, docs_of([*rows, (900, "12 34 !!"), (901, None), (902, "")]), "")
+    assert sorted(r.doc_id for r in got.collect()) == [r[0] for r in rows]
+
+
 def test_pipeline_on_the_small_table(spark, sf_dir):
     import tiktoken
     import base64
