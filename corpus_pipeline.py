@@ -44,16 +44,25 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
-    taken = mix_sources(docs).where("copies > 0")
-    times = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "copies").groupBy(
-        "__id", "__size"
-    ).agg(F.round(F.avg("copies")).cast("int").alias("__copies"))
+    """The documents of the mix, each as often as it is taken. A row is known by a digest of all its
+    columns, so null and repeated ids do not matter; of equal rows one stands for all their copies."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # nulls alone would leave no trace in the digest
+    row = F.xxhash64(*(part for c in names for part in (c, c.isNull())))
+    times = (
+        mix_sources(docs.withColumn("__row", row), id_col="__row")
+        .groupBy(F.col("__row").alias("__taken_row"), F.col("size").alias("__taken_size"))
+        .agg(F.sum("copies").cast("int").alias("__times"), F.count("*").alias("__rows"))
+    )
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    known = docs.select(F.struct(*names).alias("__doc"), row.alias("__row"), size.alias("__size"))
+    if not times.where("__rows > 1").isEmpty():
+        known = known.dropDuplicates(["__row", "__size"])
+    same = (F.col("__row") == F.col("__taken_row")) & (F.col("__size") == F.col("__taken_size"))
     return (
-        docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (size == F.col("__size")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*docs.columns)
+        known.join(times.where("__times > 0"), same)
+        .select("__doc", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+        .select("__doc.*")
     )
 
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -6,6 +7,7 @@ import pytest
 import __spark_entry__ as contract
 import corpus_pipeline
 from checks.compare import connect, difference
+from tallymark.llm.mixing import mix_sources, targets_of
 from tallymark.llm.queries import ORACLES, QUERIES
 
 
@@ -51,6 +53,30 @@ def test_texts_in_undeclared_languages_stay(spark, docs_of, declared):
     assert sorted(r.doc_id for r in got.collect()) == [r[0] for r in rows]
 
 
+def test_mix_of_null_and_repeated_ids(spark, docs_of):
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        text = f"t{i} " + "w " * rng.choice((3, 4, 5, 30))
+        rows.append((rng.choice((None, 1, 2)), text, rng.choice(("en", None)), rng.choice(("a", "b", "c", None))))
+    rows += [(None, "same in both", "en", None), (None, "same in both", None, "en")]
+    rows += rows[:60] + rows[:30]
+    docs = docs_of(rows)
+    decided = mix_sources(docs).agg({"copies": "sum"}).first()[0]
+    got = corpus_pipeline.mixed_sources(spark, docs, "").collect()
+    held, mixed = Counter(rows), Counter((r.doc_id, r.text, r.lang, r.source) for r in got)
+    assert all(n <= 2 * held[row] for row, n in mixed.items())
+    words = lambda counts: {
+        s: sum(n * len(r[1].split()) for r, n in counts.items() if r[3] == s) for s in sorted({r[3] for r in rows if r[3]}) + [None]
+    }
+    sizes, taken = words(held), words(mixed)
+    targets = dict(zip(sizes, targets_of(list(sizes.values()))))
+    assert all(abs(taken[s] - targets[s]) <= 6 for s in targets)
+    assert abs(len(got) - decided) <= 12
+    same = corpus_pipeline.mixed_sources(spark, docs.repartition(7), "").collect()
+    assert Counter(same) == Counter(got)
+
+
 def test_pipeline_on_the_small_table(spark, sf_dir):
     import tiktoken
     import base64
