@@ -5,15 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallymark.llm.bloom_lm import score_documents
 from tallymark.llm.byte_bpe import encode_documents
 from tallymark.llm.common import table
 from tallymark.llm.embedding_dedup import near_vectors
+from tallymark.llm.hard_negatives import mine_hard_negatives
 from tallymark.llm.language_id import identify_languages
 from tallymark.llm.line_crf import judge_documents, learn_line_crf
 from tallymark.llm.mixing import mix_sources
 from tallymark.llm.near_dedup import near_duplicates
 from tallymark.llm.pii import pseudonymise_documents
 from tallymark.llm.quality_model import score_quality
+from tallymark.llm.spelling import group_variants
 from tallymark.llm.token_counts import count_tokens
 from tallymark.llm.warc import archive_and_read
 
@@ -70,6 +73,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -81,6 +96,9 @@ QUERIES = {
     "op8_line_crf": op8_line_crf,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_bloom_lm": op12_bloom_lm,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Smallest id reachable over ``links`` (a, b), both ways, for each of ``items`` (id).
@@ -155,4 +173,81 @@ ORACLES: dict[str, str] = {
     SELECT r.id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, r.id = component_id AS kept
     FROM reached r LEFT JOIN counts USING (id)
     """,
+    "op11_spelling_variants": """
+    WITH RECURSIVE crc_table AS (
+        SELECT list(value ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(list_prepend(i, range(8)),
+                lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS value
+            FROM (SELECT unnest(range(256)) AS i)
+        )
+    ),
+    runs AS (
+        SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+        WHERE length(run) >= 7
+    ),
+    same AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+    hashed AS (
+        SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+            string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+            lambda s: CASE WHEN ord(s) < 128 THEN [ord(s)::BIGINT]
+                ELSE [192 + (ord(s) >> 6), 128 + (ord(s) & 63)] END))),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+        FROM same, crc_table
+    ),
+    words AS (
+        SELECT word, sum(n)::BIGINT AS n FROM (
+            SELECT n, CASE WHEN h % 31 = 0
+                THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word
+            FROM hashed
+        ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+    ),
+    shorter AS (
+        SELECT word, n, k, word[:k] || word[k + 2:] AS rest
+        FROM (SELECT word, n, unnest(range(length(word))) AS k FROM words)
+    ),
+    near AS (
+        SELECT x.word, y.word AS other, y.n AS other_n FROM shorter x JOIN shorter y
+            ON x.rest = y.rest AND x.k = y.k WHERE x.word <> y.word
+        UNION SELECT x.word, y.word, y.n FROM shorter x JOIN words y ON x.rest = y.word
+        UNION SELECT y.word, x.word, x.n FROM shorter x JOIN words y ON x.rest = y.word
+    ),
+    best AS (
+        SELECT word, count(*) AS n_near, min((-other_n, other)) AS top FROM near GROUP BY word
+    ),
+    forms AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near,
+            CASE WHEN -top[1] >= 10 * n THEN top[2] END AS form, CASE WHEN -top[1] >= 10 * n THEN -top[1] END AS form_n
+        FROM words LEFT JOIN best USING (word)
+    ),
+    way AS (
+        SELECT word, word AS place, 0 AS steps FROM forms
+        UNION ALL SELECT w.word, f.form, steps + 1 FROM way w JOIN forms f ON f.word = w.place WHERE f.form IS NOT NULL
+    ),
+    roots AS (SELECT word, arg_max(place, steps) AS root FROM way GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM forms JOIN roots USING (word)
+    """,
+    "op13_hard_negatives": """
+    WITH vectors AS (
+        SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scores AS (
+        SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+        FROM vectors a JOIN vectors b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)
+    ),
+    positives AS (
+        SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+    )
+    SELECT anchor_id, positive_id,
+        (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+        id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scores USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    QUALIFY rank <= 5
+    """,
 }
