@@ -8,17 +8,21 @@ permutation is a cyclic shift seen through the Feistel network.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.llm.common import worker_state
+
 ROUNDS = 8
 
 
@@ -73,6 +77,49 @@ _DIGITS = "0123456789"
 _SETS = (_DIGITS, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
+
+
+class _LateDays:
+    """The days from the 13th on of all months of the years from 1900 to 2099, in order."""
+
+    def __init__(self):
+        self.days = [
+            (d.year, d.month, d.day)
+            for d in map(datetime.date.fromordinal, range(_FIRST_DAY, _FIRST_DAY + _DAYS))
+            if d.day > 12
+        ]
+
+    def __len__(self) -> int:
+        return len(self.days)
+
+    def index(self, month_day: tuple[int, int], year: int) -> int:
+        at = bisect.bisect_left(self.days, (year, *month_day))
+        if at == len(self.days) or self.days[at] != (year, *month_day):
+            raise ValueError("no such day")
+        return at
+
+    def day(self, at: int) -> tuple[int, int, int]:
+        return self.days[at]
+
+
+_LATE_DAYS = _LateDays()
+
+
+@cache
+def _letters_like(c: str) -> str:
+    """The letters or digits beside ``c`` in its script: the same kind, and equally many bytes."""
+    first = ord(c) & ~63
+    return "".join(x for x in map(chr, range(max(first, 128), first + 64)) if unicodedata.category(x) == unicodedata.category(c))
+
+
+def _set_of(c: str, sets: tuple[str, ...]) -> str | None:
+    """The characters that may stand for ``c``: one of ``sets``, or beyond ASCII those of its script."""
+    for s in sets:
+        if c in s:
+            return s
+    return _letters_like(c) if c > "\x7f" and c.isalnum() else None
+
+
 #: Most values of a number that is permuted as one: the halves of its network fit a round's 128 bits.
 _MOST = 1 << 256
 
@@ -94,19 +141,22 @@ _FORMS = (
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     # up to the closing quote of the line; without one, or without quotes, up to a blank or another sign
-    "secret": rf"{_KEY}(?:({_QUOTE})(?:(?!\1)(?:\\.|[^\r\n\\])){{6,512}}+(?=\1)"
-    rf"|({_QUOTE})(?:(?!\2)(?:\\\S|[^\s\\])){{6,}}|[A-Za-z0-9_./+-]{{6,}})",
+    "secret": rf"{_KEY}(?:({_QUOTE})(?:(?!\1)(?:\\.|[^\r\n\\])){{6,}}+(?=\1)"
+    rf"|({_QUOTE})(?:(?!\2)(?:\\\S|[^\s\\])){{6,}}|[\w./+-]{{6,}})",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d]|[./-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w]|-\d)"
-    r"|(?<![\w+])\+\d{8,15}(?!\d)",
+    # with a + or a bracket, in three groups as 212-555-0123, or with a trunk 0; other groups are numbers
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,5}"
+    r"|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|[2-9]\d\d([ .-])[2-9]\d\d\1\d{4}"
+    r"|0\d{1,4}[ -]\d{3,4}[ -]\d{3,4})(?![\w]|[.-]\d)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 #: Numbers may stand beside a card or an IBAN, so these are also looked for inside longer runs: at every
 #: group that an IBAN can begin with, up to every blank, and in every window of groups as on a card.
 _IBANS = re.compile(rf"(?={PATTERNS['iban'][:2]}({PATTERNS['iban'][2:]}))")
+_PLANNED = re.compile(r"([2-9]\d\d)([ .-])([2-9]\d\d)\2(\d{4})")
 _RUN = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])")
 _CARD_GROUPS = {
     *((n,) for n in range(13, 20)), *((4, 4, 4, n) for n in range(1, 5)), (4, 4, 4, 4, 3),
@@ -134,9 +184,10 @@ class Pseudonyms:
         return permutation.undo(x) if undo else permutation.apply(x)
 
     def characters(self, kind: str, text: str, undo: bool, sets: tuple[str, ...] = _SETS) -> str:
-        """Every character of ``sets`` becomes one of the same set, all places permuted as one number, or
+        """Every character of ``sets``, and every letter beyond ASCII, becomes one of the same set, all places permuted as one number, or
         as several where one would have more than ``_MOST`` values."""
-        frame = "".join(next((s[0] for s in sets if c in s), c) for c in text)
+        kinds = [_set_of(c, sets) for c in text]
+        frame = "".join(s[0] if s else c for c, s in zip(text, kinds))
         if len(frame) > 256:
             frame = hashlib.sha256(frame.encode("utf-8", "surrogatepass")).hexdigest()
         out = list(text)
@@ -151,7 +202,7 @@ class Pseudonyms:
                 rest, place = divmod(rest, len(s))
                 out[i] = s[place]
 
-        for i, s in ((i, s) for i, c in enumerate(text) for s in sets if c in s):
+        for i, s in ((i, s) for i, s in enumerate(kinds) if s):
             if size * len(s) > _MOST:
                 permute()
                 places, x, size, part = [], 0, 1, part + 1
@@ -210,6 +261,8 @@ class Pseudonyms:
 
     def _date(self, text: str, undo: bool) -> str | None:
         form = "%Y-%m-%d" if "-" in text else f"%d{text[2]}%m{text[5]}%Y"
+        if "-" not in text and int(text[:2]) <= 12 < int(text[3:5]) <= 31:
+            return self._month_first(text, undo)
         try:
             day = datetime.datetime.strptime(text, form).date().toordinal() - _FIRST_DAY
         except ValueError:
@@ -219,6 +272,16 @@ class Pseudonyms:
         moved = self.number("date", day, _DAYS, undo)
         return datetime.date.fromordinal(_FIRST_DAY + moved).strftime(form)
 
+    def _month_first(self, text: str, undo: bool) -> str | None:
+        """Dates that are none with the day first, permuted among those: days from 13 on."""
+        month, day, year = int(text[:2]), int(text[3:5]), int(text[6:])
+        try:
+            at = _LATE_DAYS.index((month, day), year)
+        except ValueError:
+            return None
+        year, month, day = _LATE_DAYS.day(self.number("month first", at, len(_LATE_DAYS), undo))
+        return f"{month:02d}{text[2]}{day:02d}{text[5]}{year}"
+
     def _ssn(self, text: str, undo: bool) -> str | None:
         area, group, serial = map(int, text.split("-"))
         if area in (0, 666) or area >= 900 or not group or not serial:
@@ -235,6 +298,15 @@ class Pseudonyms:
         rest = text[len(prefix) :]
         if not 7 <= sum(c in _DIGITS for c in text) <= 15:
             return None
+        planned = _PLANNED.fullmatch(text)
+        if planned:  # area and exchange begin with 2 to 9
+            area, exchange, line = (int(planned[k]) for k in (1, 3, 4))
+            x = self.number("phone plan", ((area - 200) * 800 + exchange - 200) * 10_000 + line, 6_400_000_000, undo)
+            x, line = divmod(x, 10_000)
+            area, exchange = divmod(x, 800)
+            return f"{area + 200}{planned[2]}{exchange + 200}{planned[2]}{line:04d}"
+        if text[0] == "0":  # the trunk prefix stays
+            prefix, rest = text[0], text[1:]
         return prefix + _refilled(rest, self.characters("phone", re.sub(r"\D", "", rest), undo, (_DIGITS,)))
 
     def pseudonym(self, kind: str, text: str, undo: bool = False) -> str | None:
@@ -319,9 +391,8 @@ def _refilled(shape: str, characters: str) -> str:
     return "".join(next(rest) if c.isalnum() else c for c in shape)
 
 
-@lru_cache(maxsize=4)
 def pseudonyms(key: bytes) -> Pseudonyms:
-    return Pseudonyms(key)
+    return worker_state(("pseudonyms", key), lambda: Pseudonyms(key))
 
 
 _CANDIDATE = re.compile(r"[0-9@]")

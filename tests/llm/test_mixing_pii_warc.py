@@ -74,7 +74,9 @@ VALUES = [
     ("card", "4539 1488 0343 6467"), ("card", "4539148803436467"), ("ip", "192.168.7.12"), ("date", "2021-02-28"),
     ("date", "31.12.1999"), ("ssn", "123-45-6789"), ("phone", "+1 (626) 555-8013"), ("phone", "+491701234567"),
     ("email", "jo.doe@mail6.example.com"), ("secret", "password=b7db7aa4a5fcc78305"),
-    ("iban", "DE89 3704 0044 0532 0130 00"),
+    ("iban", "DE89 3704 0044 0532 0130 00"), ("date", "12/25/2024"), ("phone", "+33 1 23 45 67 89"),
+    ("phone", "212-555-0123"), ("phone", "(030) 123 4567"), ("phone", "020 7946 0958"),
+    ("secret", "password=pässwörtlang"), ("secret", "token=пароль123"),
 ]
 
 
@@ -99,6 +101,7 @@ def test_pseudonyms_keep_the_format_and_can_be_undone(kind, value):
 
 def test_what_fails_its_check_stays():
     text = "4539148803436468 and 300.1.2.3, 2021-02-30, 000-12-3456, plain 12345 and a@b, v1.2.3"
+    text += ", 12 345 678 people, population 2024 1234 567, 200.100.300, id 1234-5678-9012, 13/25/2024"
     assert Pseudonyms(b"key").replace(text) == (text, [])
 
 
@@ -109,7 +112,8 @@ def test_what_fails_its_check_stays():
         ('TOKEN = "', "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", '"!!'),
         ('{"api_key":   "', "Zx9_Lm-42.Qp/7", '", "n": 1}'), ("'password' => '", 'it is jo@a.de "1st"', "'"),
         ("pwd := `", "correct horse 9", "`"), ('{\\"secret\\": \\"', "b7db7aa4a5fcc78305", '\\"}'),
-        ("password:\n    ", "Hunter2Hunter", " end"), ('token = "', "a1B2c3D4" * 50, '"'),
+        ("password:\n    ", "Hunter2Hunter", " end"),
+        ('secret: "', "nine words of it " * 40 + "end", '"'), ('token = "', "a1B2c3D4" * 50, '"'),
     ],
 )
 def test_secrets_in_quotes(head, secret, tail):
