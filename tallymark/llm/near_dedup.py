@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import map_columns, mixed, stored
+from tallymark.llm.common import map_columns, mixed, stored, worker_state
 from tallymark.llm.components import connected_components
 
 WORDS = 5
@@ -54,9 +54,6 @@ class _WordHashes(dict):
         return value
 
 
-_hash_of = _WordHashes()
-
-
 def shingle_set(text: str, words: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the shingles of a text, A-Z lower-cased; a text with fewer
     words has its whole sequence as its only shingle, one without words has none."""
@@ -65,7 +62,8 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     size = min(n, words)
-    code = np.fromiter(map(_hash_of.__getitem__, found), dtype=np.uint64, count=n)
+    hash_of = worker_state("word hashes", _WordHashes)
+    code = np.fromiter(map(hash_of.__getitem__, found), dtype=np.uint64, count=n)
     key = np.full(n - size + 1, size, dtype=np.uint64)
     for i in range(size):
         key = mixed(key ^ code[i : n - size + 1 + i])
@@ -252,10 +250,10 @@ def near_duplicates(
 
     Returns ``id_col``, n_shingles, component_id (the smallest id reachable by links, its own included),
     kept (the id is the component's) and node (digest of the set, null without words), a row per row
-    of ``docs``. Null and empty texts have no shingles and no links. Rows without an id teach no
-    component its id: they have the component of the same set if that has an id, else null, and are
-    kept in the latter case. Repeated rows are equal, so all or none of them are kept. The chance that
-    a pair at the limit shares no bucket is below 1e-5.
+    of ``docs``. Null and empty texts have no shingles and no links. Rows without an id are linked like
+    others and name no component: theirs is null where no row with an id is reached, and then those with
+    the least digest of a set are kept. Repeated rows are equal, so all or none of them are kept. The
+    chance that a pair at the limit shares no bucket is below 1e-5.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = stored(
@@ -267,7 +265,7 @@ def near_duplicates(
         .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "nodes",
     )
-    places = nodes.where("id IS NOT NULL").select("node", "n", F.explode("bands").alias("bucket"))
+    places = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     crowds = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     shared = stored(places.join(crowds, "bucket"), "buckets")
     weight = shared.groupBy("node").agg(F.sum("crowd").alias("weight"))
@@ -280,8 +278,15 @@ def near_duplicates(
     starred = stored(shared.join(centres, "bucket").select("node", "centre").distinct(), "stars")
 
     wanted = starred.select("node").distinct().join(nodes.select("node", "id"), "node")
+    named = rows.join(wanted.withColumnRenamed("node", "wanted"), "id")
+    # the sets that no row with an id has are looked for among the rows without one
+    nameless = (
+        rows.where("id IS NULL")
+        .select("text", _sketch_of(F.col("text"), words)["node"].alias("wanted"))
+        .join(wanted.where("id IS NULL").select(F.col("node").alias("wanted")), "wanted", "left_semi")
+    )
     sets = stored(
-        _sets_of(rows.join(wanted.withColumnRenamed("node", "wanted"), "id"), words)
+        _sets_of(named.select("wanted", "text").unionByName(nameless), words)
         .where("node = wanted")
         .groupBy("node")
         .agg(F.first("shingles").alias("shingles")),
@@ -297,9 +302,10 @@ def near_duplicates(
 
     whole = nodes.select("node", "id").join(groups, "node", "left")
     whole = whole.withColumn("label", F.coalesce("label", "node"))
-    smallest = whole.groupBy("label").agg(F.min("id").alias("component_id"))
-    found = whole.select("node", "label").join(smallest, "label").select("node", "component_id")
+    smallest = whole.groupBy("label").agg(F.min("id").alias("component_id"), F.min("node").alias("least"))
+    found = whole.select("node", "label").join(smallest, "label").select("node", "component_id", "least")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    nameless = F.col("id").isNull() & component.isNull() & (F.col("node") != F.col("least"))
     return (
         sketched.drop("bands")
         .join(found, "node", "left")
@@ -307,7 +313,7 @@ def near_duplicates(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
             component.alias("component_id"),
-            F.col("id").eqNullSafe(component).alias("kept"),
+            (F.col("id").eqNullSafe(component) & ~F.coalesce(nameless, F.lit(False))).alias("kept"),
             "node",
         )
     )

@@ -94,3 +94,16 @@ def test_components_of_a_long_chain(spark):
     assert len(labels) == 303
     assert len({labels[name(i)] for i in range(301)}) == 1
     assert len(set(labels.values())) == 2
+
+
+def test_near_copies_without_ids(spark, docs_of):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words, "x"])
+    rows = [(None, near), (None, " ".join([*words, "y"])), (5, " ".join(words)), (None, "alone in the world"), (None, "alone in the world")]
+    far = [f"v{i}" for i in range(60)]
+    rows += [(None, " ".join([*far, "x"])), (None, " ".join([*far, "y"]))]
+    found = near_duplicates(docs_of(rows), words=3, percent=85).collect()
+    named = [r for r in found if r.component_id is not None]
+    assert len(named) == 3 and [r.kept for r in named if r.doc_id == 5] == [True] and sum(r.kept for r in named) == 1
+    nameless = [r for r in found if r.component_id is None]
+    assert sorted(r.n_shingles for r in nameless if r.kept) == [2, 2, 59]
