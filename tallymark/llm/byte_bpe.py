@@ -14,16 +14,15 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tallymark.llm.common import map_columns
+from tallymark.llm.common import map_columns, worker_state
 
 #: Entries of the caches of pieces and of token pairs in a Python worker; full caches start anew.
-MAX_PIECES = 300_000
-MAX_PAIRS = 300_000
+MAX_PIECES = 200_000
+MAX_PAIRS = 200_000
 #: Texts above this many characters are split lazily, not into one list.
 LAZY_CHARS = 1 << 22
 #: Ids that are gathered before rows go out.
@@ -154,9 +153,8 @@ class ByteBpe:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def codec(raw: bytes, pattern: str) -> ByteBpe:
-    return ByteBpe(raw, pattern)
+    return worker_state((raw, pattern), lambda: ByteBpe(raw, pattern))
 
 
 def encode_documents(

@@ -61,6 +61,36 @@ def map_columns(
     return df.mapInArrow(run, schema)
 
 
+_held: tuple[object, object] = (None, None)
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """The object of ``make()``, kept in a Python worker as long as the calls have the same ``key``.
+
+    Workers outlive the stages of a job, so what one operator keeps there (vocabularies, caches) makes room
+    for what the next one does: a worker holds one such object at a time."""
+    global _held
+    if _held[0] != key:
+        _held = (None, None)
+        _held = (key, make())
+    return _held[1]
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_digest(df: DataFrame) -> Column:
+    """struct of two 64-bit hashes of all columns of a row; equal rows have equal digests."""
+    # nulls alone would leave no trace
+    parts = [part for c in df.columns for part in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return F.struct(F.xxhash64(*parts).alias("low"), F.xxhash64(F.lit("high"), *parts).alias("high"))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers (xor-shifts and odd multipliers)."""
     x = x ^ (x >> np.uint64(31))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import id_remainder, map_columns
+from tallymark.llm.common import id_remainder, map_columns, worker_state
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: Characters of a text that are cut into n-grams at a time.
 _SLICE = 1 << 20
 #: Documents and distinct n-grams that are bundled at a time, and n-gram vectors kept in a worker.
-_TOGETHER, _GRAMS_TOGETHER, _MAX_GRAMS = 64, 6000, 40_000
+_TOGETHER, _GRAMS_TOGETHER, _MAX_GRAMS = 64, 6000, 8192
 #: Fixed-point scale of a document's weights in a prototype.
 _SCALE = float(1 << 16)
 
@@ -121,9 +121,8 @@ class GramVectors:
         return out
 
 
-@lru_cache(maxsize=2)
 def _vectors(dimensions: int) -> GramVectors:
-    return GramVectors(dimensions)
+    return worker_state(("gram vectors", dimensions), lambda: GramVectors(dimensions))
 
 
 def _partial_prototypes(dimensions: int):
@@ -193,8 +192,9 @@ def train_prototypes(
     }
 
 
-def language_of(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
-    """struct(lang_pred, score): the nearest prototype by cosine, and that cosine cut to 0..1.
+def language_of(text: Column, prototypes: dict[str, np.ndarray], declared: Column | None = None) -> Column:
+    """struct(lang_pred, score, ahead): the nearest prototype by cosine, that cosine cut to 0..1, and by how
+    much it is larger than the cosine with the language ``declared``, null where this has no prototype.
 
     Equal cosines give the first language by code point. A text that is null or has no letters, and
     any text where no prototype was learnt, is ``und`` with score 0.
@@ -202,38 +202,44 @@ def language_of(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] for n in names])
 
-    def label(texts: pa.Array) -> pa.Array:
-        langs, scores = [], []
+    place = {name: i for i, name in enumerate(names)}
+
+    def label(texts: pa.Array, declared: pa.Array) -> pa.Array:
+        langs, scores, aheads = [], [], []
 
         def flush(rows: list) -> None:
-            known = [r for r in rows if len(r[0])] if names else []
+            known = [r[:2] for r in rows if len(r[0])] if names else []
             if known:
                 made = _vectors(matrix.shape[1]).bundles(known, np.float32).astype(float)
                 length = np.sqrt(np.square(made).sum(axis=1))
                 cosine = made @ matrix.T / np.where(length > 0, length, 1)[:, None]
                 best, top = cosine.argmax(axis=1), cosine.max(axis=1).clip(0, 1)
             at = 0
-            for keys, _ in rows:
+            for keys, _, said in rows:
                 if len(keys) and names:
                     langs.append(names[best[at]])
                     scores.append(round(float(top[at]), 9))
+                    aheads.append(float(cosine[at].max() - cosine[at, place[said]]) if said in place else None)
                     at += 1
                 else:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
+                    aheads.append(None)
 
         rows: list = []
-        for text in texts:
-            rows.append(gram_counts(text.as_py() or ""))
+        for text, said in zip(texts, declared):
+            rows.append((*gram_counts(text.as_py() or ""), said.as_py()))
             if len(rows) >= _TOGETHER:
                 flush(rows)
                 rows = []
         flush(rows)
         return pa.StructArray.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
+            [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(aheads, pa.float64())],
+            ["lang_pred", "score", "ahead"],
         )
 
-    return F.arrow_udf(label, "lang_pred string, score double")(text)
+    said = F.lit(None).cast("string") if declared is None else declared.cast("string")
+    return F.arrow_udf(label, "lang_pred string, score double, ahead double")(text, said)
 
 
 def identify_languages(

@@ -10,12 +10,11 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 
-from tallymark.llm.common import map_columns
+from tallymark.llm.common import map_columns, worker_state
 
 #: Entries of the cache of words in a Python worker; a full cache starts anew.
 MAX_WORDS = 500_000
@@ -121,9 +120,8 @@ class WordBpe:
         return sum(map(self.count_plain, parts)) + len(parts) - 1
 
 
-@lru_cache(maxsize=2)
 def counter(raw: bytes) -> WordBpe:
-    return WordBpe(raw)
+    return worker_state(raw, lambda: WordBpe(raw))
 
 
 def count_tokens(

@@ -53,6 +53,27 @@ def test_texts_in_undeclared_languages_stay(spark, docs_of, declared):
     assert sorted(r.doc_id for r in got.collect()) == [r[0] for r in rows]
 
 
+def test_wrong_and_missing_languages_are_set_right(spark, docs_of):
+    rng = random.Random(4)
+    letters = {"aa": "abcdefghij", "bb": "klmnopqrst"}
+    text = lambda lang: " ".join("".join(rng.choices(letters[lang], k=6)) for _ in range(40))
+    rows = [(i, text("aa" if i % 2 else "bb"), "aa" if i % 2 else "bb") for i in range(60)]
+    rows += [(100, text("aa"), "bb"), (101, text("bb"), None), (102, text("aa"), "und"), (103, text("aa"), "xx")]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.known_language(spark, docs_of(rows), "").collect()}
+    assert all(got[i] == lang for i, _, lang in rows[:60])
+    # a language of one text has a profile of its own
+    assert [got[i] for i in (100, 101, 102, 103)] == ["aa", "bb", "aa", "xx"]
+
+
+def test_one_row_of_each_group(spark, docs_of):
+    words = [f"w{i}" for i in range(60)]
+    copies = [(i, " ".join([*words[:i], *words[i + 1 :]]), "en", "s") for i in (59, 58, 0, None) if i is not None]
+    rows = [*copies, copies[0], (None, " ".join(words)), (None, " ".join(words)), (7, "one of a kind"), (7, "another one with that id")]
+    docs = docs_of(rows).selectExpr("*", "'x' AS __id", "'x' AS key", "'x' AS rows", "'x' AS `KEY_`")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    assert got == [(0, copies[2][1]), (7, "another one with that id"), (7, "one of a kind")]
+
+
 def test_mix_of_null_and_repeated_ids(spark, docs_of):
     rng = random.Random(7)
     rows = []
