@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,6 +63,15 @@ def map_columns(
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    """Memory that was freed goes back to the system, where its library can do so."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 _held: tuple[object, object] = (None, None)
 
 
@@ -72,6 +83,7 @@ def worker_state(key: object, make: Callable[[], object]) -> object:
     global _held
     if _held[0] != key:
         _held = (None, None)
+        _give_back()
         _held = (key, make())
     return _held[1]
 

@@ -239,7 +239,9 @@ def language_of(text: Column, prototypes: dict[str, np.ndarray], declared: Colum
         )
 
     said = F.lit(None).cast("string") if declared is None else declared.cast("string")
-    return F.arrow_udf(label, "lang_pred string, score double, ahead double")(text, said)
+    # not to be worked out once more for a condition on the result
+    once = F.arrow_udf(label, "lang_pred string, score double, ahead double").asNondeterministic()
+    return once(text, said)
 
 
 def identify_languages(
