@@ -97,3 +97,63 @@ def test_other_algorithms_live(spark, spec):
     query.awaitTermination()
     want = distinct_estimates(spark.read.parquet(folder), ["key"], "value", [spec])
     assert estimates(log.latest()) == estimates(want)
+
+
+def touched(spark, low, high, step=7):
+    rows = spark.range(low, high).select((F.col("id") % step).alias("key"), F.col("id").alias("value"))
+    return build_sketches(rows, ["key"], "value", SPEC)
+
+
+def as_rows(frame):
+    return sorted(map(tuple, frame.collect()), key=repr)
+
+
+def test_what_a_trigger_reads_does_not_grow(spark):
+    log = SketchLog(spark, scratch_folder(spark, "long"), ["key"], buckets=3, max_segments=3)
+    reads = []
+    for batch in range(24):
+        log.put(touched(spark, 200 * batch, 200 * batch + 400), batch)
+        reads.append(log.reads())
+    current = log.sketches()
+    want = touched(spark, 0, 200 * 23 + 400)
+    assert as_rows(current) == as_rows(want.select(*current.columns))
+    # at most the registers once, and what has been added since a bucket was rewritten
+    assert max(reads) <= 2 * want.count()
+    assert len(log._segments()) <= 3 * (4 + 1) * 2 and len(log._manifests()) == log.KEPT
+    # segments that were replaced long ago are gone from the disk
+    kept = {r.path.rsplit("/registers/", 1)[1] for r in log._segments() if "/registers/" in r.path}
+    there = spark.read.parquet(f"{log.root}/registers").select("batch_id", "bucket").distinct().collect()
+    assert {f"batch_id={r.batch_id}/bucket={r.bucket}" for r in there} <= kept
+
+
+def test_a_trigger_reads_the_buckets_it_touches(spark):
+    log = SketchLog(spark, scratch_folder(spark, "buckets"), ["key"], buckets=64)
+    log.put(touched(spark, 0, 5000, step=200), 0)
+    log.put(touched(spark, 5000, 6000, step=1), 1)
+    assert len({s.bucket for s in log._segments(0)}) > 20
+    assert len({s.bucket for s in log._segments(1) if "/batch_id=1/" in s.path}) == 1
+
+
+def test_the_trigger_of_a_compaction_can_be_repeated(spark):
+    log = SketchLog(spark, scratch_folder(spark, "again"), ["key"], buckets=1, max_segments=2)
+    options = {"mode": "dense", "ks": [9], "algorithms": ["hllpp"]}
+    for batch in (0, 1, 2, 2, 3, 3, 10, 10, 11):  # ids may jump
+        log.put(touched(spark, 500 * batch, 500 * batch + 900), batch)
+        log.snapshot(batch, **options)
+        before = as_rows(log.sketches()), as_rows(log.latest())
+        log.put(touched(spark, 500 * batch, 500 * batch + 900), batch)
+        log.snapshot(batch, **options)
+        assert (as_rows(log.sketches()), as_rows(log.latest())) == before
+    assert any("/compacted/" in s.path for s in log._segments())
+    # another session with the same root goes on
+    again = SketchLog(spark, log.root, ["key"], buckets=1, max_segments=2)
+    again.put(touched(spark, 50_000, 50_900), 12)
+    assert again.sketches().count() >= len(before[0])
+
+
+def test_a_trigger_without_news(spark):
+    log = SketchLog(spark, scratch_folder(spark, "idle"), ["key"])
+    log.put(touched(spark, 0, 300), 0)
+    log.put(touched(spark, 0, 300), 1)
+    log.snapshot(1, mode="dense", ks=[9], algorithms=["hllpp"])
+    assert log.reads(0) == log.reads(1) and max(log._manifests()) == 1
