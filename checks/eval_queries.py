@@ -594,7 +594,8 @@ def het_sql(cases) -> str:
     """CTEs ending in ``he``: one row per case and pair, in result columns plus scenario."""
     contexts: dict[tuple[str, int], str] = {}
     for c in cases:
-        for context in ((c.left_hash, c.left_hash_seed), (c.right_hash, c.right_hash_seed)):
+        own = [(c.left_hash, c.left_hash_seed), (c.right_hash, c.right_hash_seed)]
+        for context in [*own, *(x[:2] for x in (c.serial, c.baseline) if isinstance(x, tuple))]:
             contexts.setdefault(context, f"h{len(contexts)}")
     ctes = [f"prs AS MATERIALIZED (SELECT * FROM {ORDER_PAIRS})"]
     for (name, seed), alias in contexts.items():
@@ -619,9 +620,11 @@ def het_sql(cases) -> str:
             naive = recoverable and c.strategy == "unsafe_naive_merge"
             side(i, "merge", left, c.left_k, low, naive, "0")
             side(i, "merge", right, c.right_k, low, naive, "1")
-        serial_k = low if recoverable else c.left_k
-        side(i, "serial", left, serial_k, serial_k, False, "0, 1")
-        side(i, "baseline", left, low, low, False, "0, 1")
+        serial = c.serial or (*left, low if recoverable else c.left_k)
+        side(i, "serial", serial[:2], serial[2], serial[2], False, "0, 1")
+        baseline = (*left, low) if c.baseline == grid.DERIVED else c.baseline
+        if baseline:
+            side(i, "baseline", baseline[:2], baseline[2], baseline[2], False, "0, 1")
         validity = "recoverable" if recoverable else ("valid" if left == right else "invalid")
         described.append(
             f"({i}, '{c.scenario}', '{c.left_hash}', '{c.right_hash}', "
@@ -702,6 +705,37 @@ def evl4(spark, sf_dir):
 _UNSAFE = [grid.merge_case(SEED, "xxhash64", 12, "unsafe_naive_merge", right_hash_seed=17)]
 
 
+#: References of their own: none for the baseline, or other hashes and precisions.
+REFERENCE_CASES = [
+    grid.merge_case(SEED, "xxhash64", 12, "reject", right_hash_seed=17, scenario="none", baseline=None),
+    grid.merge_case(
+        SEED, "xxhash64", 12, "unsafe_naive_merge", right_hash_seed=17, scenario="foreign",
+        serial=("murmurhash3", SEED, 11), baseline=("splitmix64", SEED, 10),
+    ),
+    grid.merge_case(
+        SEED, "xxhash64", left_k=13, right_k=11, strategy="reduce_then_merge", scenario="reduced",
+        serial=("xxhash64", SEED, 13), baseline=None,
+    ),
+]
+
+
+@query(
+    "evl4_references",
+    lambda: rounded_sql(het_sql(REFERENCE_CASES) + "SELECT * FROM he", HET_DOUBLES),
+)
+def evl4_references(spark, sf_dir):
+    return rounded(_het(spark, sf_dir, REFERENCE_CASES))
+
+
+@query(
+    "evl7_defaults",
+    lambda: rounded_sql(het_sql([grid.merge_case(SEED)]) + "SELECT * FROM he", HET_DOUBLES),
+)
+def evl7_defaults(spark, sf_dir):
+    """Every parameter but the seed of the data set left at its default."""
+    return rounded(_het(spark, sf_dir, [grid.merge_case(SEED)]))
+
+
 @query(
     "mrg11_strategy_auto",
     lambda: f"WITH prs AS MATERIALIZED (SELECT * FROM {ORDER_PAIRS}), "

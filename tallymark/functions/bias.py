@@ -9,6 +9,7 @@ the registers for sessions where neither is at hand.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -121,16 +122,28 @@ def bias_windows(points: BiasPoints, precisions: Sequence[int]) -> list[tuple]:
     return rows
 
 
+#: Buckets that the range in which estimates are corrected, up to 5 * 2**k, is cut into.
+BUCKETS = 64
+
+
+def _bucket(raw: float, k: int) -> int:
+    return min(BUCKETS, math.floor(raw * BUCKETS / (5.0 * (1 << k))))
+
+
 def bias_frame(
     spark: SparkSession, precisions: Sequence[int], points: BiasPoints | None = None
 ) -> DataFrame:
-    """The step function as a small frame, at most about 200 rows per precision."""
+    """The step function as a small frame, at most about 270 rows per precision: every step
+    once for each bucket that it reaches into."""
     wanted = sorted(set(precisions))
     source = points if points is not None else published_bias_points(spark)
+    rows = [
+        (k, bucket, lo, hi, mean)
+        for k, lo, hi, mean in bias_windows(source, wanted)
+        for bucket in range(_bucket(max(lo, 0.0), k), _bucket(hi, k) + 1)
+    ]
     return local_frame(
-        spark,
-        bias_windows(source, wanted),
-        "bias_k int, bias_lo double, bias_hi double, bias_mean double",
+        spark, rows, "bias_k int, bias_bucket int, bias_lo double, bias_hi double, bias_mean double"
     ).hint("broadcast")
 
 
@@ -144,13 +157,16 @@ def subtract_bias(
 ) -> DataFrame:
     """Attach ``out``: the raw estimate less its bias where ``raw <= 5m``, floored at 0.
 
-    The step function is joined as a broadcast of fixed size; each row meets exactly one
-    step, so no row is lost or repeated.
+    The step function is joined as a broadcast of fixed size, by precision and bucket, and
+    within a bucket by range; each row meets exactly one step, so none is lost or repeated.
     """
     steps = bias_frame(df.sparkSession, precisions, points)
-    joined = df.join(
+    size = F.lit(5.0) * F.pow(F.lit(2.0), F.col(k))
+    bucket = F.least(F.lit(BUCKETS), F.floor(F.col(raw) * F.lit(float(BUCKETS)) / size)).cast("int")
+    joined = df.withColumn("__bucket", bucket).join(
         steps,
         (F.col(k) == F.col("bias_k"))
+        & (F.col("__bucket") == F.col("bias_bucket"))
         & (F.col(raw) > F.col("bias_lo"))
         & (F.col(raw) <= F.col("bias_hi")),
         "left",
@@ -159,4 +175,6 @@ def subtract_bias(
     value = F.when(
         F.col(raw) <= limit, F.greatest(F.col(raw) - F.col("bias_mean"), F.lit(0.0))
     ).otherwise(F.col(raw))
-    return joined.withColumn(out, value).drop("bias_k", "bias_lo", "bias_hi", "bias_mean")
+    return joined.withColumn(out, value).drop(
+        "__bucket", "bias_k", "bias_bucket", "bias_lo", "bias_hi", "bias_mean"
+    )

@@ -177,3 +177,21 @@ def pair_runs(runs: DataFrame, run_count: int | None = None, run: str = "run_id"
     return paired.where(F.col("pair_index") < pairs)
 
 
+def pair_values(paired: DataFrame, value: str = "value") -> DataFrame:
+    """Distinct non-null values of every pair: ``pair_index, value, in_left, in_right``.
+
+    One shuffle by (pair, value), so a heavy pair is spread over all tasks.  Whatever is
+    derived from it shares that shuffle, and so one reading of the raw rows, as long as it
+    uses both flags; see :func:`exact_pair_union`.
+    """
+    on_side = lambda side: F.max(F.col("side") == side)
+    return (
+        paired.where(F.col(value).isNotNull())
+        .groupBy("pair_index", F.col(value).alias("value"))
+        .agg(on_side(0).alias("in_left"), on_side(1).alias("in_right"))
+    )
+
+
+def exact_pair_union(values: DataFrame, out: str = "exact_union") -> DataFrame:
+    """Size of the union of both sides per pair, from :func:`pair_values`."""
+    return values.groupBy("pair_index").agg(F.count_if(F.col("in_left") | F.col("in_right")).alias(out))

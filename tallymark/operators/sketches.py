@@ -116,14 +116,15 @@ def merge_sketches(sketches: DataFrame, by: Sequence[str], verify: bool = True)
     ``by`` may be any subset of the key columns or expressions over them, so this is also
     the roll-up of a stored sketch table to a coarser key.  With ``verify`` a group that
     mixes algorithms, hashes, seeds or parameters makes the query fail; the check is one
-    scalar read from the identity columns.  ``verify=False`` keeps such sketches apart, as
-    the identity stays part of the key.
+    scalar read from the merged rows, whose shuffle both then share.  ``verify=False`` keeps
+    such sketches apart, as the identity stays part of the key.
     """
     merged = sketches.groupBy(*by, *IDENTITY, "idx").agg(F.max("rho").alias("rho"))
     if not verify:
         return merged
+    # the condition on the rank keeps the aggregation the same as that of the result
     example = (
-        incompatible_groups(sketches, by)
+        incompatible_groups(merged.where(F.col("rho").isNotNull()), by)
         .agg(F.min(F.concat_ws(" and ", "one", "other")).alias("example"))
         .scalar()
     )

@@ -143,6 +143,9 @@ def context_pairs(
     return paired.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
 
 
+DERIVED = "derived"
+
+
 @dataclass(frozen=True)
 class MergeCase:
     """One heterogeneous merge experiment on HyperLogLog++ sketches."""
@@ -155,6 +158,33 @@ class MergeCase:
     right_k: int
     strategy: str = DEFAULT_STRATEGY
     scenario: str = ""
+    #: (hash, seed, k) of the sketch over all values; without one it follows from the left side.
+    serial: tuple[str, int, int] | None = None
+    #: (hash, seed, k) of the merge without mismatch: ``DERIVED`` from the left side, or none.
+    baseline: tuple[str, int, int] | str | None = DERIVED
+
+    @property
+    def serial_context(self) -> tuple[str, int, int]:
+        if self.serial is not None:
+            return self.serial
+        k = self.target_k if self.validity == "recoverable" else self.left_k
+        return self.left_hash, self.left_hash_seed, k
+
+    @property
+    def baseline_context(self) -> tuple[str, int, int] | None:
+        if self.baseline == DERIVED:
+            return self.left_hash, self.left_hash_seed, self.target_k
+        return self.baseline
+
+    @property
+    def contexts(self) -> list[tuple[str, int, int]]:
+        """Every (hash, seed, k) that a sketch of the case is made with."""
+        found = [
+            (self.left_hash, self.left_hash_seed, self.left_k),
+            (self.right_hash, self.right_hash_seed, self.right_k),
+            self.serial_context,
+        ]
+        return found + ([self.baseline_context] if self.baseline_context else [])
 
     @property
     def validity(self) -> str:
@@ -177,7 +207,7 @@ class MergeCase:
         }
         if not needs.get(self.strategy, True):
             return f"{self.strategy} does not fit a pair that is {self.validity}"
-        for k in (self.left_k, self.right_k):
+        for _, _, k in self.contexts:
             if k not in HLLPP_K:
                 return f"precision {k} lies outside [4, 18]"
         if (
@@ -206,6 +236,8 @@ def merge_case(
     left_k: int | None = None,
     right_k: int | None = None,
     scenario: str = "",
+    serial: tuple[str, int, int] | None = None,
+    baseline: tuple[str, int, int] | str | None = DERIVED,
 ) -> MergeCase:
     """A case in which every side falls back to the common hash, k and data set seed."""
     pick = lambda own, common: common if own is None else own
@@ -218,6 +250,8 @@ def merge_case(
         pick(right_k, k),
         strategy,
         scenario,
+        serial,
+        baseline,
     )
 
 

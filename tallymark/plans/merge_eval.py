@@ -18,7 +18,7 @@ from tallymark.functions.errors import NAN, absolute_error, merge_delta, relativ
 from tallymark.functions.hashing import resolve_hash
 from tallymark.functions.labels import algorithm_name_of
 from tallymark.functions.local import local_frame, null_safe_join
-from tallymark.operators.cells import cells, cells_from_hashes, hashed_rows, levels, summarize
+from tallymark.operators.cells import cells_from_hashes, hashed_rows, levels, summarize
 from tallymark.operators.estimate import (
     attach_specs,
     estimate_rows,
@@ -26,7 +26,7 @@ from tallymark.operators.estimate import (
     hash_ids,
     levels_needed,
 )
-from tallymark.operators.exact import exact_distinct, pair_runs
+from tallymark.operators.exact import exact_distinct, exact_pair_union, pair_runs, pair_values
 from tallymark.operators.sparse import check_mode, with_format
 from tallymark.operators.spec import SketchSpec
 from tallymark.plans.grid import MergeCase
@@ -56,19 +56,34 @@ def merge_pairs(
 ) -> DataFrame:
     """Merged and serial estimate of every spec for every pair of runs.
 
-    Rows are hashed once and feed three groups, the two sides and the serial one; they are
-    combined map-side to at most 2**k cells per group.  The merged sketch is then built from
-    the two sides' cells alone, the serial one from its own.  In the ``auto`` mode of
-    HyperLogLog++ both are kept at sparse resolution, so that they agree by construction.
+    The raw rows are read once, into the distinct values of every pair.  Each value is hashed
+    once and feeds up to three groups, the two sides and the serial one, which are combined
+    map-side to at most 2**k cells per group.  The merged sketch is then built from the two
+    sides' cells alone, the serial one from its own.  In the ``auto`` mode of HyperLogLog++
+    both are kept at sparse resolution, so that they agree by construction.
     """
+    return _pair_estimates(_values(runs, run_count), specs, mode, bias_points)
+
+
+def _values(runs: DataFrame, run_count: int | None) -> DataFrame:
+    return pair_values(pair_runs(runs, run_count).select("pair_index", "side", "value"))
+
+
+def _in_groups(rows: DataFrame, serial: Column | bool = True) -> DataFrame:
+    """A row per side that has the value, and one for the serial group where ``serial`` holds."""
+    both = F.lit(serial) if isinstance(serial, bool) else serial
+    sides = F.array(F.when(F.col("in_left"), 0), F.when(F.col("in_right"), 1), F.when(both, SERIAL))
+    return rows.withColumn("side", F.explode(F.array_compact(sides))).drop("in_left", "in_right")
+
+
+def _pair_estimates(values, specs, mode, bias_points) -> DataFrame:
     check_mode(mode)
-    paired = pair_runs(runs, run_count).select("pair_index", "side", "value")
     counted = [s for s in specs if s.algo != "naive"]
     parts = []
     if counted:
-        parts.append(_sketch_pairs(paired, counted, mode, bias_points))
+        parts.append(_sketch_pairs(values, counted, mode, bias_points))
     if len(counted) < len(specs):
-        parts.append(_exact_pairs(paired))
+        parts.append(_exact_pairs(values))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     gap, share = merge_delta(F.col("estimate_merge"), F.col("estimate_serial"))
     return both.withColumns(
@@ -84,13 +99,12 @@ def _side_by_side(estimates: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _sketch_pairs(paired, specs, mode, bias_points) -> DataFrame:
+def _sketch_pairs(values, specs, mode, bias_points) -> DataFrame:
     bitmap = any(s.algo == "pc" for s in specs)
     ks = sorted({s.k for s in specs if s.k is not None})
     k_from = fine_precision(specs, mode)
-    hashed = hashed_rows(paired, ["pair_index", "side"], "value", list(hash_ids(specs)))
-    twice = hashed.withColumn("side", F.explode(F.array(F.col("side"), F.lit(SERIAL))))
-    cell_rows = cells_from_hashes(twice, ["pair_index", "side"], k_from, bitmap)
+    hashed = hashed_rows(values, ["pair_index", "in_left", "in_right"], "value", list(hash_ids(specs)))
+    cell_rows = cells_from_hashes(_in_groups(hashed), ["pair_index", "side"], k_from, bitmap)
     kind = F.when(F.col("side") == SERIAL, "serial").otherwise("merge")
     by_kind = cell_rows.withColumn("kind", kind).drop("side")
     group = ["pair_index", "kind", "hash_id"]
@@ -108,10 +122,10 @@ def _sketch_pairs(paired, specs, mode, bias_points) -> DataFrame:
     )
 
 
-def _exact_pairs(paired: DataFrame) -> DataFrame:
-    per_side = paired.where(F.col("value").isNotNull()).distinct()
+def _exact_pairs(values: DataFrame) -> DataFrame:
+    per_side = _in_groups(values, serial=False)
     merged = exact_distinct(per_side, ["pair_index"], "value", "estimate_merge")
-    serial = exact_distinct(paired, ["pair_index"], "value", "estimate_serial")
+    serial = exact_pair_union(values, "estimate_serial")
     both = null_safe_join(merged, serial, ["pair_index"])
     return both.select(
         "pair_index",
@@ -124,10 +138,9 @@ def _exact_pairs(paired: DataFrame) -> DataFrame:
     )
 
 
-def _pair_count(runs: DataFrame, run_count: int | None) -> Column:
+def _pair_count(values: DataFrame) -> Column:
     """Pairs of runs that have a value, as a scalar subquery."""
-    paired = pair_runs(runs, run_count).where(F.col("value").isNotNull())
-    return paired.select(F.count_distinct("pair_index")).scalar()
+    return exact_pair_union(values).where("exact_union > 0").select(F.count(F.lit(1))).scalar()
 
 
 def merge_eval(
@@ -140,10 +153,11 @@ def merge_eval(
     bias_points: BiasPoints | None = None,
 ) -> DataFrame:
     """The merge evaluation in the columns of the merge result files, plus the hash."""
-    points = merge_pairs(runs, specs, run_count, mode, bias_points)
+    values = _values(runs, run_count)
+    points = _pair_estimates(values, specs, mode, bias_points)
     named = points.withColumns(
         {
-            "pairs": _pair_count(runs, run_count),
+            "pairs": _pair_count(values),
             "mode": F.lit("merge"),
             "sample_size": F.lit(sample_size).cast("bigint"),
             "seed": F.lit(seed).cast("bigint"),
@@ -188,9 +202,12 @@ def _recipes(
                 ingredient(0, left, case.left_k, target, naive, as_is),
                 ingredient(1, right, case.right_k, target, naive, as_is),
             )
-        serial_k = target if recoverable else case.left_k
-        for role, k in (("serial", serial_k), ("baseline", target)):
-            use(case_id, role, *[ingredient(side, left, k, k, False, True) for side in (0, 1)])
+        *serial, k = case.serial_context
+        use(case_id, "serial", ingredient(SERIAL, tuple(serial), k, k, False, True))
+        if case.baseline_context is not None:
+            *baseline, k = case.baseline_context
+            sides = [ingredient(side, tuple(baseline), k, k, False, True) for side in (0, 1)]
+            use(case_id, "baseline", *sides)
     rows = [(i, *part) for parts, i in known.items() for part in parts]
     return rows, uses
 
@@ -204,16 +221,20 @@ def heterogeneous_pairs(
 ) -> DataFrame:
     """Exact, merged, serial and baseline value of every case for every pair of runs.
 
-    All cases share one scan and one hash per distinct context.  The raw data becomes cells
-    per (pair, side, context); which cells enter which sketch is a small literal frame that
-    is broadcast; a single maximum per (pair, sketch, register) then does reduction and merge
-    together, since both commute with the maximum.  Sketches that several cases or roles
-    have in common are made once.
-
-    The serial reference is the left context, at the lower precision where the pair is
-    recoverable; the baseline is the left hash at the lower precision, merged.  Both are the
-    union of the two sides' cells.
+    All cases share one scan: the raw rows become the distinct values of every pair, which
+    are counted for the exact union and hashed once per distinct context.  They become cells
+    per (pair, side, context), with a side of its own for the serial sketch, which sees all
+    values; which cells enter which sketch is a small literal frame that is broadcast; a
+    single maximum per (pair, sketch, register) then does reduction and merge together, since
+    both commute with the maximum.  Sketches that several cases or roles have in common are
+    made once.  Without a baseline its columns are NaN.
     """
+    return _case_estimates(_values(runs, run_count), cases, mode, bias_points)
+
+
+def _case_estimates(
+    values: DataFrame, cases: Sequence[MergeCase], mode: str, bias_points: BiasPoints | None
+) -> DataFrame:
     check_mode(mode)
     for case in cases:
         if case.problem:
@@ -222,14 +243,16 @@ def heterogeneous_pairs(
         raise ValueError("no merge cases")
     contexts: dict[tuple[str, int], int] = {}
     for case in cases:
-        contexts.setdefault((case.left_hash, case.left_hash_seed), len(contexts))
-        contexts.setdefault((case.right_hash, case.right_hash_seed), len(contexts))
-    spark = runs.sparkSession
-    ks = sorted({k for c in cases for k in (c.left_k, c.right_k)})
+        for name, hash_seed, _ in case.contexts:
+            contexts.setdefault((name, hash_seed), len(contexts))
+    spark = values.sparkSession
+    ks = sorted({k for c in cases for _, _, k in c.contexts})
     k_from = max(ks) if mode == "dense" else SPARSE_PRECISION
-    paired = pair_runs(runs, run_count).select("pair_index", "side", "value")
     choices = [resolve_hash(name, seed) for name, seed in contexts]
-    cell_rows = cells(paired, ["pair_index", "side"], "value", choices, k_from)
+    hashed = hashed_rows(values, ["pair_index", "in_left", "in_right"], "value", choices)
+    serial_ids = sorted({contexts[c.serial_context[:2]] for c in cases})
+    grouped = _in_groups(hashed, F.col("hash_id").isin(serial_ids))
+    cell_rows = cells_from_hashes(grouped, ["pair_index", "side"], k_from)
 
     rows, uses = _recipes(cases, contexts, mode)
     recipe = local_frame(
@@ -290,7 +313,7 @@ def heterogeneous_pairs(
             )
         ]
     )
-    exact = exact_distinct(paired, ["pair_index"], "value", "exact_union")
+    exact = exact_pair_union(values)
     described = local_frame(
         spark,
         [
@@ -335,12 +358,13 @@ def heterogeneous_eval(
     bias_points: BiasPoints | None = None,
 ) -> DataFrame:
     """The heterogeneous evaluation in the columns of its result files, plus the scenario."""
-    points = heterogeneous_pairs(runs, cases, run_count, mode, bias_points)
+    values = _values(runs, run_count)
+    points = _case_estimates(values, cases, mode, bias_points)
     named = points.withColumns(
         {
             "algorithm": F.lit("HyperLogLog++"),
             "mode": F.lit("merge_heterogeneous"),
-            "pairs": _pair_count(runs, run_count),
+            "pairs": _pair_count(values),
             "sample_size": F.lit(sample_size).cast("bigint"),
             "dataset_seed": F.lit(dataset_seed).cast("bigint"),
             "topology": F.lit("pairwise"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators.exact import pair_runs
 from tallymark.operators.spec import SketchSpec, sketch
-from tallymark.operators.statistics import finite_summary, pair_summary
+from tallymark.operators.statistics import finite_summary, group_medians, pair_summary
 from tallymark.plans.grid import (
     MergeCase,
     context_pairs,
@@ -145,3 +145,52 @@ def test_summaries(spark, runs):
     got = {r.g: r for r in finite_summary(data, ["g"], ["x"]).collect()}
     assert got["a"].x_mean == 2 and got["a"].x_finite == 2
     assert math.isnan(got["b"].x_mean) and got["b"].x_finite == 0
+
+
+def test_references_of_their_own(runs):
+    cases = [
+        merge_case(1, "xxhash64", 10, "direct", scenario="none", baseline=None),
+        merge_case(
+            1, "xxhash64", 10, "direct", scenario="own",
+            serial=("siphash24", 5, 12), baseline=("murmurhash3", 3, 9),
+        ),
+        merge_case(1, "siphash24", 12, "direct", right_hash_seed=5, left_hash_seed=5, scenario="siphash"),
+        merge_case(1, "murmurhash3", 9, "direct", right_hash_seed=3, left_hash_seed=3, scenario="murmur"),
+    ]
+    rows = {(r.scenario, r.pair_index): r for r in heterogeneous_eval(runs, cases, 2000, 1).collect()}
+    for pair in (0, 1):
+        none, own = rows["none", pair], rows["own", pair]
+        assert math.isnan(none.baseline_homogeneous) and math.isnan(none.delta_vs_baseline)
+        assert none.estimate_merge == none.estimate_serial == own.estimate_merge
+        assert own.estimate_serial == rows["siphash", pair].estimate_serial != own.estimate_merge
+        assert own.baseline_homogeneous == rows["murmur", pair].estimate_merge
+        assert own.delta_vs_baseline == abs(own.estimate_merge - own.baseline_homogeneous)
+    with pytest.raises(ValueError):
+        heterogeneous_eval(runs, [merge_case(1, baseline=("xxhash64", 1, 3))], 2000, 1)
+
+
+def test_a_wrong_merge_is_told_from_its_serial_sketch(spark):
+    from tallymark.plans.reports import consistency_checks
+
+    # the two sides differ, so a merge that is not reduced properly does not equal the serial sketch
+    one = spark.range(3000).selectExpr("0 AS run_id", "id AS value")
+    two = spark.range(1000, 9000).selectExpr("1 AS run_id", "id AS value")
+    cases = [merge_case(1, left_k=12, right_k=8, strategy=s) for s in ("reduce_then_merge", "unsafe_naive_merge")]
+    found = heterogeneous_eval(one.union(two), cases, 0, 1)
+    checks = {r.check: r.value for r in consistency_checks(found).collect()}
+    assert all(checks.values())
+    swapped = found.withColumn("strategy", F.lit("reduce_then_merge"))
+    assert not all(r.value for r in consistency_checks(swapped).collect())
+
+
+@pytest.mark.parametrize("cuts", [2, 4, 256])
+def test_medians(spark, cuts):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 500 == 0, F.lit(None)).otherwise(F.lit("b")).alias("g"),
+        F.when(F.col("id") % 11 > 0, F.pow(F.rand(3) * 10 - 5, F.lit(3))).when(F.col("id") % 2 == 0, 1.5).alias("x"),
+    )
+    rows = rows.union(spark.createDataFrame([("one", 7.0), ("two", 1.0), ("two", 2.0), ("none", None)], rows.schema)).cache()
+    want = {r.g: r.m for r in rows.groupBy("g").agg(F.median("x").alias("m")).where("m IS NOT NULL").collect()}
+    got = {r.g: r.median for r in group_medians(rows, ["g"], "x", cuts=cuts).collect()}
+    assert len(want) == 5 and got == want
+    assert group_medians(rows, [], "x", cuts=cuts).first().median == rows.agg(F.median("x")).first()[0]

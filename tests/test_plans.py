@@ -7,10 +7,12 @@ from tallymark.functions.hashing import resolve_hash
 from tallymark.operators.cells import cells
 from tallymark.operators.estimate import distinct_estimates
 from tallymark.operators.exact import exact_distinct
+from tallymark.operators.sketches import build_sketches, estimate_sketches, merge_sketches
 from tallymark.operators.spec import SketchSpec, sketch
 from tallymark.plans.checkpoints import checkpoint_plan
 from tallymark.plans.grid import hash_mismatch_cases
-from tallymark.plans.merge_eval import heterogeneous_eval
+from tallymark.plans import reports
+from tallymark.plans.merge_eval import heterogeneous_eval, merge_eval
 from tallymark.plans.prefix import prefix_estimates
 
 
@@ -97,3 +99,45 @@ def test_heavy_hashes_get_a_branch_each(spark):
     assert "Union" in text
     got = cells(spark.range(100), [], "id", choices, 10).groupBy("hash_id").count().count()
     assert got == 3
+
+
+def final_plan(df):
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+@pytest.fixture(scope="module")
+def order_runs(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    return orders.select(
+        (F.col("o_orderkey") % 10).cast("int").alias("run_id"), F.col("o_custkey").alias("value")
+    )
+
+
+def test_evaluations_of_many_hashes_read_the_rows_once(order_runs):
+    cases = hash_mismatch_cases(42)
+    text = final_plan(heterogeneous_eval(order_runs, cases, 0, 42, run_count=10))
+    # All branches reuse one shuffle of distinct values, whose scan is printed where it runs:
+    # in the first branch, or in the subquery that counts the pairs and is not printed.
+    assert text.count("FileScan") <= 1 and text.count("ReusedExchange") >= 4
+    specs = [sketch("hllpp", 10, hash=h, seed=1) for h in ("splitmix64", "murmurhash3", "siphash24")]
+    text = final_plan(merge_eval(order_runs, specs, 0, run_count=10))
+    assert text.count("FileScan") <= 1 and text.count("ReusedExchange") >= 3
+
+
+def test_verified_merge_builds_its_sketches_once(lines):
+    sketches = build_sketches(lines, ["l_returnflag", "l_linestatus"], "l_orderkey", sketch("hllpp", 12))
+    frame = estimate_sketches(merge_sketches(sketches, ["l_returnflag"]), ["l_returnflag"], "dense", ks=[12])
+    assert "ReusedExchange" in final_plan(frame)
+
+
+def test_bias_is_no_nested_loop(lines):
+    for ks in ([12], [10, 14]):
+        text = plan(distinct_estimates(lines, ["l_returnflag"], "l_orderkey", [sketch("hllpp", k) for k in ks]))
+        assert "NestedLoop" not in text and "BroadcastHashJoin" in text
+
+
+def test_reports_hold_no_group_in_a_task(order_runs):
+    pairs = heterogeneous_eval(order_runs, hash_mismatch_cases(42)[:4], 0, 42, run_count=10)
+    text = plan(reports.hash_mismatch_global(pairs))
+    assert "median(" not in text and "percentile(" not in text and "percentile_approx(" in text
