@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from checks import sqltext as q
 from checks.registry import (
     EVENT_RUN,
+    LATE_RUNS,
     LINE_RUNS,
     ORDER_RUNS,
     event_run,
+    late_runs,
     line_runs,
     order_runs,
     pairs_of,
@@ -163,6 +165,40 @@ def win2(spark, sf_dir):
     return _plain_prefix(order_runs(spark, sf_dir))
 
 
+def _empty_estimate(s: SketchSpec) -> int:
+    """What the formula of a sketch without elements gives."""
+    return {"ll": int(0.39701 * (1 << (s.k or 0))), "pc": int(1 / 0.77351)}.get(s.algo, 0)
+
+
+def late_sql(specs) -> str:
+    """Every run at every checkpoint, also before its first value."""
+    rows = ", ".join(f"('{s.algo}', '{s.params}', {_empty_estimate(s)})" for s in specs)
+    return (
+        prefix_estimates_sql(LATE_RUNS, specs)
+        + "SELECT f.run_id, f.t::BIGINT AS t, coalesce(u.truth, 0)::BIGINT AS truth, a.algorithm, "
+        "a.params, coalesce(e.estimate, a.empty)::BIGINT AS estimate "
+        "FROM (SELECT run_id, t FROM (SELECT DISTINCT run_id FROM src), pts) f "
+        f"CROSS JOIN (VALUES {rows}) a(algorithm, params, empty) "
+        "LEFT JOIN tru u ON u.run_id = f.run_id AND u.t = f.t "
+        "LEFT JOIN est e ON e.run_id = f.run_id AND e.t = f.t "
+        "AND e.algorithm = a.algorithm AND e.params = a.params"
+    )
+
+
+@query(
+    "win1_prefix_truth_late",
+    lambda: f"SELECT run_id, t, truth FROM ({late_sql([SketchSpec('naive')])})",
+)
+def win1_late(spark, sf_dir):
+    runs = late_runs(spark, sf_dir)
+    return prefix.prefix_truth(runs, checkpoint_plan(run_length(runs), BUDGET))
+
+
+@query("win2_prefix_estimate_late", lambda: late_sql(PREFIX_SPECS))
+def win2_late(spark, sf_dir):
+    return _plain_prefix(late_runs(spark, sf_dir))
+
+
 def _sparse_prefix_sql() -> str:
     keys = ["run_id", "t"]
     return (

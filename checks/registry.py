@@ -56,6 +56,15 @@ def event_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def late_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs along one common axis that start late: users with an error, per group of users."""
+    return table(spark, sf_dir, "events").select(
+        F.pmod(F.col("user_id"), F.lit(20)).cast("int").alias("run_id"),
+        (F.col("event_id") + 1).alias("pos"),
+        F.when(F.col("event_type") == "error", F.col("user_id")).alias("value"),
+    )
+
+
 ORDER_RUNS = (
     "(SELECT (o_orderkey % 10)::INT AS run_id, (o_orderkey // 10 + 1)::BIGINT AS pos, "
     "o_custkey::BIGINT AS value FROM orders)"
@@ -64,6 +73,10 @@ LINE_RUNS = "(SELECT (l_suppkey % 10)::INT AS run_id, l_partkey::BIGINT AS value
 EVENT_RUN = (
     "(SELECT 0::INT AS run_id, (event_id + 1)::BIGINT AS pos, user_id::BIGINT AS value FROM events)"
 )
+LATE_RUNS = (
+    "(SELECT (user_id % 20)::INT AS run_id, (event_id + 1)::BIGINT AS pos, "
+    "CASE WHEN event_type = 'error' THEN user_id END::BIGINT AS value FROM events)"
+)
 
 
 def pairs_of(runs: str) -> str:

@@ -106,31 +106,73 @@ def levels(
 ) -> DataFrame:
     """Cells re-expressed at every precision of ``ks``, tagged with column ``k``.
 
-    With ``bitmap`` the pseudo level 0 carries the Probabilistic Counting bitmap, one row
-    per key.  Work is proportional to the cells, never to the raw rows.  ``regroup`` says
-    that ``keys`` are coarser than those of the cells, so even a single level has to merge.
+    With ``bitmap`` the pseudo level 0 carries the Probabilistic Counting bitmap, in one row
+    per key and register of the coarsest level.  Work is proportional to the cells, never to
+    the raw rows.  ``regroup`` says that ``keys`` are coarser than those of the cells, so even
+    a single level has to merge.
+
+    All registers that fold into one register of the coarsest level share its leading bits.
+    So the cells are shuffled once, as they are, by key and those bits, and every level is
+    unfolded and merged where its cells already lie.
     """
     wanted = sorted(set(ks))
     if wanted == [k_from] and not bitmap and not regroup:
         return cell_rows.withColumn("k", F.lit(k_from))
-    all_levels = ([BITMAP_LEVEL] if bitmap else []) + wanted
+    placed = by_coarsest(cell_rows, keys, k_from, wanted)
+    projected = unfold(placed, [*keys, COARSEST], k_from, wanted, bitmap)
+    aggregates = [F.max("rho").alias("rho")]
+    if bitmap:
+        aggregates.append(F.bit_or("bits").alias("bits"))
+    return projected.groupBy(*keys, COARSEST, "k", "idx").agg(*aggregates).drop(COARSEST)
+
+
+COARSEST = "__coarsest"
+
+
+def by_coarsest(
+    cell_rows: DataFrame, keys: Sequence[str], k_from: int, ks: Sequence[int]
+) -> DataFrame:
+    """Cells brought together by key and register of the coarsest precision (``COARSEST``).
+
+    The number of the hash is made part of that column: as a column of its own it is a constant
+    where there is one hash only, and a partitioning by a constant is not recognised again.
+    """
+    lowest = min(ks)
+    coarsest = b.reduced_idx(F.col("idx"), k_from, F.lit(lowest)).cast("bigint")
+    if "hash_id" in keys:
+        coarsest = coarsest + F.col("hash_id") * F.lit(1 << lowest).cast("bigint")
+    others = [key for key in keys if key != "hash_id"]
+    return cell_rows.withColumn(COARSEST, coarsest).repartition(*others, COARSEST)
+
+
+def unfold(
+    cell_rows: DataFrame,
+    keep: Sequence[str],
+    k_from: int,
+    ks: Sequence[int],
+    bitmap: bool = False,
+    base_only: Sequence[str] = (),
+) -> DataFrame:
+    """``keep, k, idx, rho[, bits]``: a row per cell and precision, not merged yet.
+
+    ``base_only`` columns, like the bitmap, are carried by the pseudo level 0 alone.
+    """
+    all_levels = ([BITMAP_LEVEL] if bitmap else []) + list(ks)
     unfolded = cell_rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in all_levels])))
-    is_bitmap = F.col("k") == BITMAP_LEVEL
-    idx = F.when(is_bitmap, F.lit(0)).otherwise(b.reduced_idx(F.col("idx"), k_from, F.col("k")))
-    rho = F.when(is_bitmap, F.lit(0)).otherwise(
-        b.reduced_rho(F.col("idx"), F.col("rho"), k_from, F.col("k"))
-    )
-    projected = unfolded.select(
-        *keys,
+    is_base = F.col("k") == BITMAP_LEVEL
+    idx = b.reduced_idx(F.col("idx"), k_from, F.col("k"))
+    rho = b.reduced_rho(F.col("idx"), F.col("rho"), k_from, F.col("k"))
+    if bitmap:
+        idx = F.when(is_base, F.lit(0)).otherwise(idx)
+        rho = F.when(is_base, F.lit(0)).otherwise(rho)
+    carried = (["bits"] if bitmap else []) + list(base_only)
+    return unfolded.select(
+        *keep,
         "k",
         idx.alias("idx"),
         rho.alias("rho"),
-        *([F.when(is_bitmap, F.col("bits")).alias("bits")] if bitmap else []),
+        *[F.when(is_base, F.col(name)).alias(name) for name in carried],
     )
-    aggregates = [F.max("rho").alias("rho")]
-    if bitmap:
-        aggregates.append(F.bit_or("bits").alias("bits"))
-    return projected.groupBy(*keys, "k", "idx").agg(*aggregates)
 
 
 def scaled_inverse(rho: Column) -> tuple[Column, Column]:

@@ -6,6 +6,9 @@ on first occurrences.  Each one is assigned to the checkpoint interval it falls
 registers are reduced per (run, register, interval); a window over the at most 200 intervals
 of one register finds where its rank rises; and the integer estimator sums of the rises are
 accumulated per run.  No task ever holds a whole run.
+
+Every run has a row at every checkpoint.  Where no value has come yet, as in a run that starts
+late or holds nulls only, the truth is 0 and the estimate that of an empty sketch.
 """
 
 from __future__ import annotations
@@ -21,7 +24,15 @@ from tallymark.functions.bits import SPARSE_PRECISION
 from tallymark.functions.errors import theoretical_rse
 from tallymark.functions.labels import algorithm_name_of
 from tallymark.functions.local import null_safe_join
-from tallymark.operators.cells import BITMAP_LEVEL, SUMS, hashed_rows, register_terms
+from tallymark.operators.cells import (
+    BITMAP_LEVEL,
+    COARSEST,
+    SUMS,
+    by_coarsest,
+    hashed_rows,
+    register_terms,
+    unfold,
+)
 from tallymark.operators.estimate import (
     attach_specs,
     estimate_rows,
@@ -56,6 +67,11 @@ def first_in_interval(runs: DataFrame, checkpoints: Sequence[int]) -> DataFrame:
     return placed.where(F.col("ckpt").isNotNull()).select("run_id", "value", "ckpt")
 
 
+def _starts(runs: DataFrame) -> DataFrame:
+    """``run_id, ckpt``: every run at the first checkpoint, whether it holds a value or not."""
+    return runs.select("run_id").distinct().withColumn("ckpt", F.lit(0))
+
+
 def _fill_forward(rows: DataFrame, by: Sequence[str], values: dict[str, Column], n: int):
     """Accumulate ``values`` over intervals and repeat them up to the next row's interval."""
     order = Window.partitionBy(*by).orderBy("ckpt")
@@ -72,9 +88,11 @@ def _fill_forward(rows: DataFrame, by: Sequence[str], values: dict[str, Column],
 
 def prefix_truth(runs: DataFrame, checkpoints: Sequence[int]) -> DataFrame:
     """``run_id, t, truth``: distinct elements among the first t, at every checkpoint."""
-    counts = first_in_interval(runs, checkpoints).groupBy("run_id", "ckpt").agg(
-        F.count(F.lit(1)).alias("new")
+    first = first_in_interval(runs, checkpoints).select(
+        "run_id", "ckpt", F.lit(1).cast("bigint").alias("new")
     )
+    empty = _starts(runs).withColumn("new", F.lit(0).cast("bigint"))
+    counts = first.unionByName(empty).groupBy("run_id", "ckpt").agg(F.sum("new").alias("new"))
     grown = _fill_forward(counts, ["run_id"], {"truth": F.sum("new")}, len(checkpoints))
     return grown.select(
         "run_id", checkpoint_at(F.col("ckpt"), checkpoints).alias("t"), "truth"
@@ -139,23 +157,14 @@ def _sketch_prefixes(runs, specs, checkpoints, mode, bias_points) -> DataFrame:
         )
     )
     group = ["run_id", "hash_id", "k"]
-    all_levels = [BITMAP_LEVEL, *wanted]
-    unfolded = cell_rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in all_levels])))
-    is_base = F.col("k") == BITMAP_LEVEL
+    # One shuffle of the cells serves every level: the merge of a register per interval and the
+    # window over its intervals both find their rows where the coarsest register put them.
+    placed = by_coarsest(cell_rows, ["run_id", "hash_id"], k_from, wanted)
     per_register = (
-        unfolded.select(
-            *group,
-            "ckpt",
-            F.when(is_base, F.lit(0))
-            .otherwise(b.reduced_idx(F.col("idx"), k_from, F.col("k")))
-            .alias("idx"),
-            F.when(is_base, F.lit(0))
-            .otherwise(b.reduced_rho(F.col("idx"), F.col("rho"), k_from, F.col("k")))
-            .alias("rho"),
-            F.when(is_base, F.col("bits")).alias("bits"),
-            F.when(is_base, F.col("seen")).alias("seen"),
+        unfold(
+            placed, ["run_id", "hash_id", COARSEST, "ckpt"], k_from, wanted, True, ["seen"]
         )
-        .groupBy(*group, "ckpt", "idx")
+        .groupBy(*group, COARSEST, "ckpt", "idx")
         .agg(
             F.max("rho").alias("rho"),
             F.bit_or("bits").alias("bits"),
@@ -163,7 +172,7 @@ def _sketch_prefixes(runs, specs, checkpoints, mode, bias_points) -> DataFrame:
         )
     )
     before = (
-        Window.partitionBy(*group, "idx")
+        Window.partitionBy(*group, COARSEST, "idx")
         .orderBy("ckpt")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -171,6 +180,16 @@ def _sketch_prefixes(runs, specs, checkpoints, mode, bias_points) -> DataFrame:
     rises = traced.where(
         (F.col("k") == BITMAP_LEVEL) | F.col("old").isNull() | (F.col("rho") > F.col("old"))
     )
+    # A register that rises from a rank to the same rank adds nothing to any sum.
+    nothing = {"idx": F.lit(0), "rho": F.lit(1), "old": F.lit(1), "bits": F.lit(0), "seen": F.lit(0)}
+    numbers = F.array(*[F.lit(i) for i in hash_ids(specs).values()])
+    precisions = F.array(*[F.lit(k) for k in [BITMAP_LEVEL, *wanted]])
+    empty = _starts(runs).withColumn("hash_id", F.explode(numbers))
+    empty = empty.withColumn("k", F.explode(precisions))
+    types = dict(rises.dtypes)
+    rises = rises.drop(COARSEST).unionByName(
+        empty.withColumns({name: value.cast(types[name]) for name, value in nothing.items()})
+    )
     new_terms = register_terms(F.col("rho"), F.col("k"))
     old_terms = register_terms(F.col("old"), F.col("k"))
     is_register = F.col("k") != BITMAP_LEVEL

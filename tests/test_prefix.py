@@ -68,6 +68,47 @@ def test_open_lists_are_measured_along_the_stream(spark):
         assert {r.params: r.estimate for r in rows if r.t == t} == want
 
 
+@pytest.mark.parametrize("mode", ["dense", "auto", "sparse"])
+def test_empty_prefixes_have_rows(spark, mode):
+    """Runs that start late, hold nulls only, or have values beyond the last checkpoint only."""
+    rows = [(1, 1, None), (1, 2, 7), (1, 3, 7), (1, 4, 8), (2, 1, None), (2, 2, None), (3, 9, 5)]
+    runs = spark.createDataFrame(rows, "run_id int, pos bigint, value bigint")
+    points = [1, 2, 4]
+    got = prefix_estimates(runs, SPECS, points, mode).collect()
+    assert len(got) == 3 * len(points) * len(SPECS)
+    truth = {(r.run_id, r.t): r.truth for r in got}
+    assert truth == {
+        (1, 1): 0, (1, 2): 1, (1, 4): 2, **{(run, t): 0 for run in (2, 3) for t in points}
+    }
+    assert truth == {(r.run_id, r.t): r.truth for r in prefix_truth(runs, points).collect()}
+    # the empty sketch: 0, but for the two whose formula has no zero
+    empty = {"hllpp": 0, "hll": 0, "naive": 0, "ll": int(0.39701 * 64), "pc": 1}
+    assert all(r.estimate == empty[r.algorithm] for r in got if r.truth == 0)
+    direct = distinct_estimates(runs.where("run_id = 1"), [], "value", SPECS, mode).collect()
+    want = {(r.algorithm, r.params, r.hash): r.estimate for r in direct}
+    last = {(r.algorithm, r.params, r.hash): r.estimate for r in got if (r.run_id, r.t) == (1, 4)}
+    assert last == want
+    stats = prefix_eval(runs, SPECS, 4, mode=mode, checkpoints=points).collect()
+    first = [r for r in stats if r.number_of_elements_processed == 1]
+    assert len(first) == len(SPECS) and all(r.runs == 3 and r.f0_mean_t == 0 for r in first)
+
+
+def test_one_exchange_of_cells_serves_all_levels(spark):
+    """Levels are unfolded after the shuffle; windows and merges need none of their own."""
+    runs = uniform_stream(spark, 600, 150, 3, 5)
+    plain = [sketch("hllpp", k) for k in range(4, 15)]
+    seeded = [sketch("hll", k, hash="xxhash64", seed=9) for k in (6, 12)]
+    for specs in (plain, plain + seeded):
+        for frame in (
+            prefix_estimates(runs, specs, checkpoint_plan(600, 12)),
+            distinct_estimates(runs, ["run_id"], "value", specs),
+        ):
+            text = frame._jdf.queryExecution().executedPlan().toString()
+            lines = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+            assert sum("__coarsest" in line for line in lines) == 1
+            assert not any(" idx#" in line and " k#" in line for line in lines)
+
+
 def test_exact_counter_has_no_error(spark):
     runs = constant_rho_stream(spark, 1000, 100, 4, 3)
     rows = prefix_eval(runs, [SketchSpec("naive")], 1000, seed=3, budget=50).collect()
