@@ -773,6 +773,39 @@ def udx1(spark, sf_dir):
 
 
 
+_LAW_COUNTS = {
+    "max": ["0", "0", "0", "0"],
+    "sum": ["0", "count_if(a <> 0)", "0", "0"],
+    "avg": ["0", "0", "0", "count_if(a <> c OR a + c <> 2 * b)"],
+}
+
+
+@query(
+    "udx3_algorithm_laws",
+    lambda: " UNION ALL ".join(
+        f"""SELECT '{name}' AS combine, '{law}' AS law, count(*)::BIGINT AS cases,
+        {count}::BIGINT AS violations FROM (SELECT o_custkey AS a, o_orderkey AS b,
+        o_orderkey % 7 AS c FROM orders)"""
+        for name, counts in _LAW_COUNTS.items()
+        for law, count in zip(extend.LAWS, counts)
+    ),
+)
+def udx3(spark, sf_dir):
+    """Which laws the ways of merging keep or break, over the states of a whole table."""
+    states = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.col("o_custkey").alias("a"),
+        F.col("o_orderkey").alias("b"),
+        F.pmod(F.col("o_orderkey"), F.lit(7)).alias("c"),
+    )
+    out = None
+    for name, combine in (("max", F.max), ("sum", F.sum), ("avg", F.avg)):
+        rows = extend.law_violations(states, combine, "o_orderkey")
+        rows = rows.select(F.lit(name).alias("combine"), "law", "cases", "violations")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _md5_top(df: DataFrame, value: str, seed: int, out: str) -> DataFrame:
     """The first 64 bits of the MD5 of ``seed:value``, as an example of an own hash."""
     text = F.concat(F.lit(f"{seed}:"), F.col(value).cast("string"))

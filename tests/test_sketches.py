@@ -198,3 +198,39 @@ def test_own_algorithm(data):
         extend.register_algorithm(object())
     with pytest.raises(ValueError):
         extend.algorithm_of("missing")
+
+
+@pytest.mark.parametrize(
+    "combine, broken",
+    [
+        (F.sum, {"idempotence"}),
+        (F.avg, {"associativity"}),
+        (F.first, {"commutativity"}),
+        (F.count, {"identity", "idempotence", "associativity"}),
+        (F.max, set()),
+        (F.bit_or, set()),
+    ],
+)
+def test_laws_of_own_algorithms(spark, combine, broken):
+    class Own(Minimum):
+        name = "own"
+
+        def project(self, h):
+            return F.lit(0), (h % 1000).cast("bigint")
+
+        def combine(self, state):
+            return combine(state)
+
+    if not broken:
+        assert extend.register_algorithm(Own()).name == "own"
+        return
+    with pytest.raises(ValueError, match="breaks") as problem:
+        extend.register_algorithm(Own())
+    assert all(law in str(problem.value) for law in broken)
+    assert ("idempotence" in str(problem.value)) == ("idempotence" in broken)
+
+
+def test_laws_without_states(spark):
+    none = spark.createDataFrame([], "id int, a int, b int, c int")
+    rows = extend.law_violations(none, F.max, "id").collect()
+    assert [(r.law, r.cases, r.violations) for r in rows] == [(law, 0, 0) for law in extend.LAWS]
