@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +30,8 @@ from tallymark.operators.cells import levels, registers, summarize
 from tallymark.operators.estimate import distinct_estimates
 from tallymark.operators.spec import SketchSpec, requested_algorithms, sketch, sweep_specs
 from tallymark.plans import grid
-from tallymark.sources import generators
+from tallymark.sources import generators, run_files
+from tallymark.sources.scratch import scratch_folder
 
 FLAG = ["l_returnflag"]
 XX42 = resolve_hash("xxhash64", 42)
@@ -43,6 +49,59 @@ def src1(spark, sf_dir):
     return order_runs(spark, sf_dir)
 
 
+RUN_ELEMENTS = 4096
+
+
+def _write_run_file(folder: str):
+    """A function that writes one run, of at most ``RUN_ELEMENTS`` elements, as a file."""
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        run_id, n = int(rows.run_id.iloc[0]), len(rows)
+        is_new = ~rows.value.duplicated().to_numpy()
+        blocks = [
+            zlib.compress(rows.value.to_numpy().astype("<u4").tobytes()),
+            zlib.compress(np.packbits(is_new, bitorder="little").tobytes()),
+        ]
+        at = run_files.HEADER.size + run_files.ENTRY.size
+        distinct = int(is_new.sum())
+        header = run_files.HEADER.pack(run_files.MAGIC, run_files.VERSION, n, distinct, 1, run_id)
+        entry = run_files.ENTRY.pack(
+            at, len(blocks[0]), at + len(blocks[0]), len(blocks[1]), n, distinct,
+            run_files.VALUES_U32_LE, run_files.BITS_LE, 0,
+        )
+        system, inner = run_files.located(f"{folder}/run-{run_id}.bin")
+        system.create_dir(inner.rsplit("/", 1)[0])
+        # Written under a name of its own first, so that a repeated task leaves no half a file.
+        part = f"{inner}.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as stream:
+            stream.write(header + entry + b"".join(blocks))
+        system.move(part, inner)
+        return pd.DataFrame({"run_id": [run_id]})
+
+    return write
+
+
+@query(
+    "src2_import_runs",
+    f"""WITH s AS (SELECT (o_orderkey // {RUN_ELEMENTS})::BIGINT AS seed,
+        (o_orderkey % {RUN_ELEMENTS} + 1)::BIGINT AS pos, o_custkey::BIGINT AS value FROM orders)
+    SELECT seed, pos, value, (row_number() OVER (PARTITION BY seed, value ORDER BY pos) = 1)
+        AS is_new FROM s""",
+)
+def src2(spark, sf_dir):
+    """Orders written as run files, one per 4,096 of them, and imported again."""
+    folder = scratch_folder(spark, "run-files")
+    key = F.col("o_orderkey")
+    runs = table(spark, sf_dir, "orders").select(
+        F.expr(f"o_orderkey div {RUN_ELEMENTS}").alias("run_id"),
+        (F.pmod(key, F.lit(RUN_ELEMENTS)) + 1).alias("pos"),
+        F.col("o_custkey").alias("value"),
+    )
+    runs.groupBy("run_id").applyInPandas(_write_run_file(folder), "run_id bigint").count()
+    return run_files.read_run_files(spark, folder).select("seed", "pos", "value", "is_new")
+
+
 @query(
     "src3_integrity",
     f"""WITH s AS (SELECT run_id, count(*) AS n, count(DISTINCT value) AS d FROM {LINE_RUNS}

@@ -19,7 +19,14 @@ from tallymark.sources.generators import (
     uniform_values,
     with_run_seed,
 )
-from tallymark.sources.run_files import RunFileError, read_index, read_run_files
+from tallymark.sources.run_files import (
+    RunFileError,
+    RunFileSource,
+    located,
+    read_index,
+    read_run_files,
+    run_index,
+)
 
 
 def write_runs(path, runs, n, d, seed, broken=None, **more):
@@ -105,6 +112,33 @@ def test_broken_blocks(spark, tmp_path):
         read_run_files(spark, str(tmp_path / "missing*.bin")).count()
 
 
+def test_folders_schemes_and_data_source(spark, tmp_path):
+    """The same rows by folder, pattern, URI and data source; other files are left alone."""
+    folder = tmp_path / "with blank"
+    folder.mkdir()
+    for i in range(3):
+        write_runs(folder / f"r{i}.bin", [[i, 7, i], [7, 7, 9]], 3, 2, i)
+    (folder / "notes.txt").write_text("not a run file")
+    columns = ["run_id", "pos", "value", "is_new", "seed"]
+    want = sorted(map(tuple, read_run_files(spark, str(folder)).select(columns).collect()))
+    assert len(want) == 18 and (1, 3, 9, True, 2) in want
+    for path in (f"{folder}/r*.bin", f"file:{folder}", f"file://{folder}"):
+        got = read_run_files(spark, path).select(columns).collect()
+        assert sorted(map(tuple, got)) == want
+    spark.dataSource.register(RunFileSource)
+    for path in (str(folder), f"{folder}/r*.bin"):
+        source = spark.read.format("run_files").load(path)
+        assert source.rdd.getNumPartitions() == 3
+        assert sorted(map(tuple, source.select(columns).collect())) == want
+    index = run_index(spark, str(folder))
+    assert index.count() == 6 and index.agg(F.sum("elements")).first()[0] == 18
+    assert "content" not in index._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(RunFileError, match="no run files"):
+        read_run_files(spark, str(tmp_path / "empty"))
+    assert located("/a/b.bin")[1] == located("file:/a/b.bin")[1] == "/a/b.bin"
+
+
 def test_integrity_rules(spark):
     rows = [(0, 1, 5, True), (0, 2, 5, True), (1, 1, -1, True), (1, 2, 1 << 32, True), (1, 3, 2, True)]
     data = spark.createDataFrame(rows, "run_id int, pos bigint, value bigint, is_new boolean")
