@@ -1141,10 +1141,23 @@ def src7(spark, sf_dir):
     laid = laid.withColumn("p_algorithm", results.sanitize(F.col("algorithm")))
     results.append_results(laid.drop("hash", "hash_seed"), root, "csv")
     loaded = results.load_results(spark, root, "merge")
-    part = lambda name: F.regexp_extract("source_path", f"/p_{name}=([^/]+)/", 1)
-    return loaded.groupBy(
-        part("algorithm").alias("algorithm_dir"), part("params").alias("params_dir")
-    ).agg(F.count(F.lit(1)).alias("rows"))
+    placed = results.with_path_fields(loaded, ["algorithm_dir", "params_dir"])
+    return placed.groupBy("algorithm_dir", "params_dir").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("snk7_replace_namespaces", lambda: merge_sql() + _MERGE_ROWS)
+def snk7_namespaces(spark, sf_dir):
+    """Two namespaces of wrong results, one replaced whole; the other is filtered out again."""
+    root = scratch_folder(spark, "namespaces")
+    rows = merge_results(spark, sf_dir)
+    wrong = rows.withColumns({"estimate_merge": F.lit(-1.0), "params": F.lit("k=3")})
+    for name in ("order lines", "other"):
+        laid = results.with_layout(wrong, name, "all", F.col("hash"), F.col("params"))
+        results.append_results(laid, root)
+    laid = results.with_layout(rows, "order lines", "all", F.col("hash"), F.col("params"))
+    results.replace_namespaces(laid, root, ["order lines"])
+    kept = spark.read.parquet(root).where(F.col("p_namespace") == "order_lines")
+    return kept.select(*results.columns_of("merge"))
 
 
 # --- streams --------------------------------------------------------------------------

@@ -71,6 +71,11 @@ def sanitize(label: Column) -> Column:
     return F.coalesce(F.nullif(trimmed, F.lit("")), F.lit("default"))
 
 
+def sanitized(label: str) -> str:
+    """:func:`sanitize` for a name known beforehand."""
+    return re.sub(r"[^A-Za-z0-9]+", "_", label).strip("_") or "default"
+
+
 def params_text(k: Column, length: Column) -> Column:
     """``k=..``, ``k=..,L=..`` or ``L=..`` depending on which part is present."""
     return F.concat_ws(
@@ -109,8 +114,10 @@ def order_of(column: Column, order: list[str]) -> Column:
 def path_fields(path: Column) -> dict[str, Column]:
     """Fields of a result path ``<namespace>/<mode>/<algorithm>/<hash>/<params>/<file>``.
 
-    Numbers and texts that a path does not carry come back as NULL.
+    The folders may carry the names of layout columns, as in ``p_hash=xxhash64``.  Numbers and
+    texts that a path does not carry come back as NULL.
     """
+    path = F.regexp_replace(path, "/p_(?:namespace|mode|algorithm|hash|params)=", "/")
 
     def text(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
@@ -121,6 +128,7 @@ def path_fields(path: Column) -> dict[str, Column]:
     return {
         "namespace": text(r"([^/]+)/[^/]+/[^/]+/[^/]+/[^/]+/[^/]+$"),
         "mode_dir": text(r"([^/]+)/[^/]+/[^/]+/[^/]+/[^/]+$"),
+        "algorithm_dir": text(r"([^/]+)/[^/]+/[^/]+/[^/]+$"),
         "hash": text(r"([^/]+)/[^/]+/[^/]+$"),
         "params_dir": text(r"([^/]+)/[^/]+$"),
         "d": text(r"_d_(\d+)(?:/|$)").cast("bigint"),

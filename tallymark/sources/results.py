@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.functions.labels import path_fields, sanitize
+from tallymark.functions.labels import path_fields, sanitize, sanitized
+from tallymark.sources.scratch import scratch_folder
 
 # Columns of the three kinds of result files.
 STREAMING_SCHEMA = (
@@ -119,11 +120,20 @@ def replace_results(df: DataFrame, root: str, format: str = "parquet") -> None:
 def replace_namespaces(
     df: DataFrame, root: str, namespaces: Sequence[str], format: str = "parquet"
 ) -> None:
-    """Drop the named namespaces with everything in them and write their new rows."""
-    for namespace in namespaces:
-        rows = df.where(F.col("p_namespace") == namespace).drop("p_namespace")
-        writer = _writer(rows, format, LAYOUT_COLUMNS[1:])
-        writer.mode("overwrite").save(f"{root.rstrip('/')}/p_namespace={namespace}")
+    """Drop the named namespaces with everything in them and write their new rows.
+
+    Names are cleaned as in :func:`with_layout`; rows of other namespaces are not written.  The
+    frame is computed once, into a working folder, before anything is dropped, so it may even
+    read from ``root`` itself.  A named namespace without rows is left empty.
+    """
+    spark, staged = df.sparkSession, scratch_folder(df.sparkSession, "namespaces")
+    names = sorted({sanitized(name) for name in namespaces})
+    _writer(df.where(F.col("p_namespace").isin(names)), "parquet").save(staged)
+    rows = spark.read.schema(df.schema).parquet(staged)
+    for name in names:
+        mine = rows.where(F.col("p_namespace") == name).drop("p_namespace")
+        writer = _writer(mine, format, LAYOUT_COLUMNS[1:])
+        writer.mode("overwrite").save(f"{root.rstrip('/')}/p_namespace={name}")
 
 
 def _writer(df: DataFrame, format: str, by: Sequence[str] = LAYOUT_COLUMNS):
@@ -148,15 +158,21 @@ def load_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """All result files of one kind below ``path`` as one frame with ``source_path``.
 
     The schema is explicit and has to match each file's header; a row that does not fit it makes
-    the query fail.  Files are found recursively, and ``nan`` is read as NaN.
+    the query fail.  Files are found recursively, and ``nan`` is read as NaN.  Files that by
+    their name or by their ``p_mode`` folder are of another kind are passed over unread.
     """
     reader = spark.read.schema(SCHEMAS[kind]).options(
         header=True, recursiveFileLookup=True, quote='"', escape='"', nanValue="nan",
         positiveInf="inf", negativeInf="-inf", pathGlobFilter="*.csv", mode="FAILFAST",
         enforceSchema=False,
     )
-    frame = reader.csv(path)
-    return frame.select("*", F.col("_metadata.file_path").alias("source_path"))
+    others = [other for other in SCHEMAS if other != kind]
+    folders = [f"/p_mode={other}/" for other in others]
+    file, whole = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    own = ~file.isin([FILE_NAMES[other] for other in others])
+    for folder in folders:
+        own = own & ~whole.contains(folder)
+    return reader.csv(path).where(own).select("*", whole.alias("source_path"))
 
 
 def with_path_fields(df: DataFrame, names: Sequence[str], path: str = "source_path") -> DataFrame:

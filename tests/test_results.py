@@ -59,6 +59,46 @@ def test_replacing(spark):
     assert read() == [("one", "k=10,L=32", 7.0), ("two", "k=10,L=32", 1.5)]
 
 
+def test_replacing_namespaces_once(spark):
+    """Names are cleaned, the frame may come from the folder itself, and is computed once."""
+    root = scratch_folder(spark, "namespaces")
+    for name in ("a b", "b", "c"):
+        results.append_results(sample(spark, name), root)
+        results.append_results(sample(spark, name, params="k=11,L=32"), root)
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    stored = spark.read.parquet(root).where("params = 'k=10,L=32' and p_namespace <> 'c'")
+    frame = stored.withColumn("estimate_merge", F.col("estimate_merge") + 1)
+    frame = frame.mapInArrow(counted, frame.schema)
+    results.replace_namespaces(frame, root, ["a b", "b", "c"])
+    rows = spark.read.parquet(root).collect()
+    got = sorted((r.p_namespace, r.params, r.estimate_merge) for r in rows)
+    assert got == [("a_b", "k=10,L=32", 2.5), ("b", "k=10,L=32", 2.5)]
+    assert computed.value == 2
+
+
+def test_files_of_another_kind_are_passed_over(spark, tmp_path):
+    """A tree with all kinds of files, in either layout, is loaded kind by kind."""
+    root = str(tmp_path)
+    results.append_results(sample(spark, "one"), root, "csv")
+    other = spark.createDataFrame([(1, "x")], "p int, q string")
+    results.write_table(other, f"{root}/p_namespace=one/p_mode=streaming/part")
+    (tmp_path / "ns" / "merge" / "hll" / "xxhash64" / "k_9").mkdir(parents=True)
+    for name in ("results_streaming.csv", "results_merge_heterogeneous.csv"):
+        (tmp_path / "ns" / "merge" / "hll" / "xxhash64" / "k_9" / name).write_text("x,y\n1,2\n")
+    loaded = results.load_results(spark, root, "merge")
+    names = ["namespace", "mode_dir", "algorithm_dir", "hash", "params_dir", "k", "l"]
+    row, = results.with_path_fields(loaded, names).collect()
+    assert (row.namespace, row.mode_dir, row.algorithm_dir) == ("one", "merge", "hll")
+    assert (row.hash, row.params_dir, row.estimate_merge) == ("xxhash64", "k_10_L_32", 1.5)
+    assert (row.k, row.l) == (10, 32)
+
+
 def test_unknown_kind():
     with pytest.raises(ValueError):
         results.columns_of("other")
