@@ -27,8 +27,12 @@ LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 1 << 30
 #: Wanted records at most so far apart are read together, in reads of at most so many bytes.
 GAP_BYTES, READ_BYTES = 1 << 16, 8 << 20
-#: Bytes of an archive that one reading task group covers.
-BLOCK_BYTES = 32 << 20
+#: Bytes of an archive that lie in one block; about as much is read by a task, up to so many tasks.
+BLOCK_BYTES, READ_TASKS = 32 << 20, 20_000
+#: Payloads that occur more than once are sent to all tasks up to so many bytes of table.
+BROADCAST_BYTES = 16 << 20
+#: Parts into which the pages of a payload are dealt where they are not.
+SALTS = 64
 
 INDEX = (
     "page_id bigint, url string, digest string, payload_bytes bigint, record_type string, "
@@ -42,17 +46,25 @@ def _safe_url(url: str | None) -> str:
     return _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m.group().encode()), url or "") or "urn:unknown"
 
 
+def _record_id(page_id: int | None, url: str | None, sha1: bytes) -> str:
+    identity = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{_safe_url(url)}/{sha1.hex()}")
+    return f"<urn:uuid:{identity}>"
+
+
 def record_bytes(
-    page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None
+    page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None,
+    refers_url: str | None = None,
 ) -> bytes:
-    """One record as a gzip member: a response, or a revisit of ``refers_to`` without the payload."""
+    """One record as a gzip member: a response, or a revisit without the payload.
+
+    A revisit names the record of page ``refers_to`` at ``refers_url`` that holds the payload.
+    """
     revisit = refers_to is not None
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     block = head.encode() + (b"" if revisit else payload)
-    identity = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{_safe_url(url)}/{sha1.hex()}")
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{identity}>",
+        "WARC-Record-ID": _record_id(page_id, url, sha1),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": _safe_url(url),
         "WARC-Payload-Digest": f"sha1:{base64.b32encode(sha1).decode()}",
@@ -63,6 +75,8 @@ def record_bytes(
         fields["X-Page-Id"] = str(page_id)
     if revisit:
         fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        fields["WARC-Refers-To"] = _record_id(refers_to, refers_url, sha1)
+        fields["WARC-Refers-To-Target-URI"] = _safe_url(refers_url)
         fields["X-Refers-To-Page-Id"] = str(refers_to)
     lines = "".join(f"{name}: {value}\r\n" for name, value in fields.items())
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -101,6 +115,10 @@ def write_archives(
     they have the largest id; a null id is below all others. ``folder`` must be one that all executors
     share. An archive has a name of its own per attempt of a task, and the index holds only those of
     successful attempts, so lost executors leave nothing but unused files.
+
+    The payloads that occur more than once are found from ids, URLs and digests alone and written
+    down. Where they take at most 16 MB, every task gets them and no page is shuffled; beyond that they
+    are joined by digest, with the pages of a digest dealt among 64 tasks.
     """
     rows = pages.select(
         F.col(id_col).alias("page_id"),
@@ -108,16 +126,31 @@ def write_archives(
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = F.octet_length("html") >= least_revisit
-    kept = (
+    repeated = (
         rows.where(large)
         .groupBy("digest")
-        .agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("digest", "response_id")
+        .agg(F.max(F.struct("page_id", "url")).alias("response"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1 and response.page_id is not null")
+        .select(
+            "digest",
+            F.col("response.page_id").alias("response_id"),
+            F.col("response.url").alias("response_url"),
+        )
     )
-    decided = rows.join(kept, "digest", "left").select(
+    kept = stored(repeated, "warc-repeated")
+    weight = F.sum(F.coalesce(F.octet_length("response_url"), F.lit(0)) + F.lit(100))
+    if (kept.agg(weight).first()[0] or 0) <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(kept), "digest", "left")
+    else:
+        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(
+            kept.withColumn("salt", F.explode(salts)), ["digest", "salt"], "left"
+        )
+    revisit = ~F.col("page_id").eqNullSafe(F.col("response_id")) & F.col("response_id").isNotNull()
+    decided = joined.select(
         "page_id", "url", "html", "digest",
-        F.when(~F.col("page_id").eqNullSafe(F.col("response_id")) & F.col("response_id").isNotNull(), F.col("response_id")).alias("refers_to"),
+        F.when(revisit, F.col("response_id")).alias("refers_to"),
+        F.when(revisit, F.col("response_url")).alias("refers_url"),
     )
 
     def write(batches: Iterator[dict]) -> Iterator[dict]:
@@ -126,15 +159,17 @@ def write_archives(
         at = 0
         for batch in batches:
             index: dict[str, list] = {part.split()[0]: [] for part in INDEX.split(", ")}
-            columns = (batch[n] for n in ("page_id", "url", "html", "digest", "refers_to"))
-            for page_id, url, html, digest, refers_to in zip(*columns):
+            columns = (batch[n] for n in ("page_id", "url", "html", "digest", "refers_to", "refers_url"))
+            for page_id, url, html, digest, refers_to, refers_url in zip(*columns):
                 if out is None or at >= ARCHIVE_BYTES:
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = system.open_output_stream(f"{path}/{name}", compression=None)
                 payload = html.encode()
-                member = record_bytes(page_id, url, payload, bytes.fromhex(digest), refers_to)
+                member = record_bytes(
+                    page_id, url, payload, bytes.fromhex(digest), refers_to, refers_url
+                )
                 out.write(member)
                 values = (
                     page_id, url, digest, len(payload), "response" if refers_to is None else "revisit",
@@ -173,8 +208,11 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = False) -> Data
 
     Returns page_id, url, payload_bytes, payload_digest (lower-case hex SHA-1 of the full payload),
     record_type, refers_to and, with ``payloads``, payload (null for revisits). A payload held in a
-    record that does not fit its digest raises an error.
+    record that does not fit its digest raises an error. The number of tasks follows the bytes to read,
+    which one small action over the index sums up.
     """
+    wanted_bytes = index.agg(F.sum("length")).first()[0] or 0
+    tasks = min(max(-(-wanted_bytes // BLOCK_BYTES), 1), READ_TASKS)
     places = index.select("file", "offset", "length").withColumn(
         "block", F.expr(f"offset div {BLOCK_BYTES}")
     )
@@ -216,7 +254,8 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = False) -> Data
         "refers_to bigint" + (", payload binary" if payloads else "")
     )
     names = [part.split()[0] for part in schema.split(", ")]
-    ordered = places.repartition("file", "block").sortWithinPartitions("file", "offset").drop("block")
+    # Without a number, adaptive execution would merge tasks by the size of the index rows.
+    ordered = places.repartition(tasks, "file", "block").sortWithinPartitions("file", "offset").drop("block")
     return map_columns(ordered, read, schema)
 
 

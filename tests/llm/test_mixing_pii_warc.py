@@ -3,10 +3,11 @@ import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import mixing
+from tallymark.llm import mixing, warc
 from tallymark.llm.mixing import mix_sources, targets_of
 from tallymark.llm.pii import Permutation, Pseudonyms, iban_check, luhn_digit, pseudonymise_documents
 from tallymark.llm.warc import archive_and_read, parse_record, read_archives, record_bytes, write_archives
@@ -191,7 +192,9 @@ def pages_of(spark):
     return rows, spark.createDataFrame(rows, PAGES)
 
 
-def test_records_of_all_pages(spark):
+@pytest.mark.parametrize("broadcast", [warc.BROADCAST_BYTES, -1])
+def test_records_of_all_pages(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast)
     rows, pages = pages_of(spark)
     got = archive_and_read(pages.withColumns({c: F.lit("x") for c in ("digest", "file", "block", "response_id")}))
     want = []
@@ -218,6 +221,39 @@ def test_selected_records_and_their_payloads(spark):
     assert read_archives(index.where("false"), folder).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [warc.BROADCAST_BYTES, -1])
+def test_revisits_name_the_record_with_the_payload(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast)
+    rows = [(i, f"http://x/{i}", "a" * 2000 if i % 3 else f"{i}" * 1500) for i in range(300)]
+    pages = spark.createDataFrame(rows, PAGES)
+    folder = scratch_folder(spark, "warc-revisits")
+    index = write_archives(pages, folder)
+    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    headers = []
+    for row in index.collect():
+        with system.open_input_file(f"{path}/{row.file}") as file:
+            headers.append(parse_record(file.read_at(row.length, row.offset))[0])
+    responses = {h["WARC-Record-ID"]: h for h in headers if h["WARC-Type"] == "response"}
+    revisits = [h for h in headers if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 199 and len(responses) == 101
+    for header in revisits:
+        named = responses[header["WARC-Refers-To"]]
+        assert named["X-Page-Id"] == header["X-Refers-To-Page-Id"] == "299"
+        assert named["WARC-Target-URI"] == header["WARC-Refers-To-Target-URI"]
+
+
+def test_reading_tasks_follow_the_bytes(spark, monkeypatch):
+    """Adaptive execution merges no reading tasks, though the rows of the index are few."""
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 2000)
+    pages = spark.createDataFrame([(i, "u", random.Random(i).randbytes(500).hex()) for i in range(200)], PAGES)
+    folder = scratch_folder(spark, "warc-tasks")
+    index = write_archives(pages, folder)
+    wanted = index.agg(F.sum("length")).first()[0]
+    read = read_archives(index, folder)
+    assert read.rdd.getNumPartitions() == -(-wanted // 2000) > 20
+    assert read.count() == 200
+
+
 def test_record_survives_odd_headers():
     sha1 = hashlib.sha1(b"x\r\n\r\ny").digest()
     fields, payload = parse_record(record_bytes(None, "http://a b/\n", b"x\r\n\r\ny", sha1, None))
