@@ -569,6 +569,34 @@ def agg10_auto(spark, sf_dir):
     return rows.select("l_returnflag", "params", "estimate")
 
 
+#: One key with most orders, one with few, and null: on both sides of the switch.
+UNEVEN = (
+    "CASE WHEN l_suppkey % 16 = 0 THEN 'few' WHEN l_suppkey % 16 = 1 THEN NULL ELSE 'many' END"
+)
+
+
+def _uneven_hashes() -> str:
+    return q.hashed(f"(SELECT {UNEVEN} AS part, l_orderkey FROM lineitem)", "part", "l_orderkey")
+
+
+for _name, _ks in (("agg10_hllpp_auto_settled", (12, 13)), ("agg10_hllpp_auto_uneven", (14, 16))):
+
+    def _uneven_auto(spark, sf_dir, ks=_ks):
+        rows = lines(spark, sf_dir).select(F.expr(UNEVEN).alias("part"), "l_orderkey")
+        specs = [sketch("hllpp", k) for k in ks]
+        found = distinct_estimates(rows, ["part"], "l_orderkey", specs, "auto")
+        return found.select("part", "params", "estimate")
+
+    query(
+        _name,
+        lambda ks=_ks: " UNION ALL ".join(
+            f"SELECT part, 'k={k}' AS params, estimate FROM "
+            + q.hllpp_auto(_uneven_hashes(), ["part"], k)
+            for k in ks
+        ),
+    )(_uneven_auto)
+
+
 @query("agg11_sparse_to_dense", lambda: "SELECT * FROM " + q.registers(_line_hashes(), FLAG, 12))
 def agg11(spark, sf_dir):
     table_ = sketches.build_sketches(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import estimators as e
@@ -13,7 +13,13 @@ from tallymark.functions.bits import SPARSE_PRECISION
 from tallymark.functions.local import local_frame
 from tallymark.operators.cells import BITMAP_LEVEL, cells, levels, summarize
 from tallymark.operators.exact import exact_distinct
-from tallymark.operators.sparse import check_mode, with_format
+from tallymark.operators.sparse import (
+    LEAST_LEVEL,
+    check_mode,
+    settled_keys,
+    with_open_format,
+    without_settled,
+)
 from tallymark.operators.spec import SketchSpec
 
 SPEC_COLUMNS = ("algorithm", "params", "hash", "hash_seed")
@@ -139,9 +145,10 @@ def distinct_estimates(
     algorithm is derived from the resulting cells.
 
     ``mode`` concerns HyperLogLog++ only.  ``dense`` always uses registers and shuffles at
-    most 2**k rows per key and task.  ``auto`` applies the sparse-or-dense rule and
-    ``sparse`` always counts codes; both work on up to 2**25 codes per key and so shuffle
-    about as much as an exact distinct count.
+    most 2**k rows per key and task.  ``sparse`` always counts codes, up to 2**25 per key, and
+    so shuffles about as much as an exact distinct count.  ``auto`` applies the
+    sparse-or-dense rule in two phases: registers first, then a second reading of the rows for
+    the codes of keys that the registers do not prove to be dense.
     """
     check_mode(mode)
     if not specs:
@@ -170,17 +177,23 @@ def _sketch_estimates(df, keys, value, specs, mode, bias_points) -> DataFrame:
     ks = sorted({s.k for s in specs if s.k is not None})
     hashes = list(hash_ids(specs))
     group = [*keys, "hash_id"]
-    k_from = fine_precision(specs, mode)
+    listed = [s.k for s in specs if s.algo == "hllpp"] if mode == "auto" else []
+    k_from = max(*ks, LEAST_LEVEL) if listed else fine_precision(specs, mode)
     cell_rows = cells(df, keys, value, hashes, k_from, bitmap)
     if not ks:
         per_level = cell_rows.groupBy(*group).agg(F.bit_or("bits").alias("bits"))
         summary = per_level.withColumn("k", F.lit(BITMAP_LEVEL))
     else:
-        wanted = levels_needed(specs, mode)
+        wanted = [*ks, k_from] if listed else levels_needed(specs, mode)
         summary = summarize(levels(cell_rows, group, k_from, wanted, bitmap), group, bitmap)
-        if k_from == SPARSE_PRECISION:
-            codes = cell_rows.select(*group, "idx", "rho")
-            summary = with_format(summary, codes, group, ks)
+    if listed:
+        settled = settled_keys(summary, keys, len(hashes), k_from, max(listed))
+        codes = cells(without_settled(df, keys, settled), keys, value, hashes, SPARSE_PRECISION)
+        summary = with_open_format(summary, codes, group, sorted(set(listed)))
+    elif k_from == SPARSE_PRECISION:
+        is_codes = F.col("k") == SPARSE_PRECISION
+        n_codes = F.max(F.when(is_codes, F.col("occupied"))).over(Window.partitionBy(*group))
+        summary = summary.withColumn("n_codes", n_codes).where(~is_codes)
     rows = attach_specs(summary, specs)
     estimated = estimate_rows(rows, [s.algo for s in specs], ks, mode, bias_points)
     return estimated.select(

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions.hashing import resolve_hash
-from tallymark.operators.cells import cells
+from tallymark.operators.cells import cells, levels, summarize
 from tallymark.operators.estimate import distinct_estimates
 from tallymark.operators.exact import exact_distinct
 from tallymark.operators.sketches import build_sketches, estimate_sketches, merge_sketches
+from tallymark.operators.sparse import settled_keys, without_settled
 from tallymark.operators.spec import SketchSpec, sketch
 from tallymark.plans.checkpoints import checkpoint_plan
 from tallymark.plans.grid import hash_mismatch_cases
@@ -47,11 +48,38 @@ def test_a_sweep_reads_the_data_once(lines):
     assert text.count("FileScan") == 1 and "Cartesian" not in text and "NestedLoop" not in text
 
 
-def test_auto_mode_shares_its_shuffle(lines):
-    frame = distinct_estimates(lines, ["l_returnflag"], "l_orderkey", [sketch("hllpp", 14)], "auto")
+def test_auto_mode_fetches_codes_of_open_keys_only(spark):
+    """The registers settle the large keys, so their codes are neither shuffled nor counted."""
+    rows = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") < 50_000, F.lit("hot")).when(F.col("id") < 53_000, F.lit("few")).alias("g"),
+        F.col("id").alias("v"),
+    )
+    choice = [resolve_hash()]
+    registers = cells(rows, ["g"], "v", choice, 14)
+    group = ["g", "hash_id"]
+    summary = summarize(levels(registers, group, 14, [14]), group)
+    settled = settled_keys(summary, ["g"], 1, 14, 14)
+    assert [r.g for r in settled.collect()] == ["hot"]
+    left = cells(without_settled(rows, ["g"], settled), ["g"], "v", choice, 25)
+    counts = {r.g: r["count"] for r in left.groupBy("g").count().collect()}
+    assert set(counts) == {"few", None}
+    assert counts["few"] <= 3_000 and 6_000 < counts[None] <= 7_000
+
+    frame = distinct_estimates(rows, ["g"], "v", [sketch("hllpp", 14)], "auto")
     frame.collect()
     final = plan(frame).split("== Initial Plan ==")[0]
-    assert final.count("ReusedExchange") >= 2
+    assert "LeftAnti" in final and "ReusedExchange" in final
+    assert "Cartesian" not in final and "NestedLoop" not in final
+
+
+def test_auto_mode_without_keys(spark):
+    """The one sketch of a whole table is settled as well."""
+    rows = spark.range(0, 40_000, 1, 4).select(F.col("id").alias("v"))
+    specs = [sketch("hllpp", 12), sketch("hllpp", 14)]
+    auto = distinct_estimates(rows, [], "v", specs, "auto")
+    dense = distinct_estimates(rows, [], "v", specs, "dense")
+    assert sorted(auto.collect()) == sorted(dense.collect())
+    assert "Cartesian" not in plan(auto)
 
 
 def test_no_cross_joins_in_evaluations(spark):
