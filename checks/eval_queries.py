@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from checks import sqltext as q
 from checks.registry import (
     EVENT_RUN,
+    GROWING_RUNS,
     LATE_RUNS,
     LINE_RUNS,
     ORDER_RUNS,
     event_run,
+    growing_runs,
     late_runs,
     line_runs,
     order_runs,
@@ -213,6 +215,27 @@ def win2_auto(spark, sf_dir):
     return _plain_prefix(event_run(spark, sf_dir), "auto", [sketch("hllpp", 12)])
 
 
+def _growing_sql() -> str:
+    keys = ["run_id", "t"]
+    rows = " UNION ALL ".join(
+        f"SELECT f.run_id, f.t::BIGINT AS t, coalesce(u.truth, 0)::BIGINT AS truth, "
+        f"'hllpp' AS algorithm, 'k={k}' AS params, coalesce(e.estimate, 0)::BIGINT AS estimate "
+        f"FROM frame f LEFT JOIN tru u ON u.run_id = f.run_id AND u.t = f.t "
+        f"LEFT JOIN {q.hllpp_auto('pre', keys, k)} e ON e.run_id = f.run_id AND e.t = f.t"
+        for k in (14, 16)
+    )
+    frame = "frame AS (SELECT run_id, t FROM (SELECT DISTINCT run_id FROM src), pts)"
+    start = prefix_estimates_sql(GROWING_RUNS, [SketchSpec("naive")]).rstrip()
+    return f"{start}, {frame} {rows}"
+
+
+@query("win2_prefix_estimate_auto_lists", _growing_sql)
+def win2_lists(spark, sf_dir):
+    """Runs that pass from lists to registers (k=14) or whose lists are measured (k=16)."""
+    specs = [sketch("hllpp", 14), sketch("hllpp", 16)]
+    return _plain_prefix(growing_runs(spark, sf_dir), "auto", specs)
+
+
 @query(
     "sta1_error_statistics",
     lambda: rounded_sql(

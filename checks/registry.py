@@ -65,6 +65,16 @@ def late_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def growing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long and a short run along one axis, of order keys: no value comes twice."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.when(F.pmod(F.col("o_custkey"), F.lit(8)) == 0, 1).otherwise(0).alias("run_id"),
+        (key + 1).alias("pos"),
+        key.alias("value"),
+    )
+
+
 ORDER_RUNS = (
     "(SELECT (o_orderkey % 10)::INT AS run_id, (o_orderkey // 10 + 1)::BIGINT AS pos, "
     "o_custkey::BIGINT AS value FROM orders)"
@@ -73,6 +83,10 @@ LINE_RUNS = "(SELECT (l_suppkey % 10)::INT AS run_id, l_partkey::BIGINT AS value
 EVENT_RUN = (
     "(SELECT 0::INT AS run_id, (event_id + 1)::BIGINT AS pos, user_id::BIGINT AS value FROM events)"
 )
+GROWING_RUNS = (
+    "(SELECT (CASE WHEN o_custkey % 8 = 0 THEN 1 ELSE 0 END)::INT AS run_id, "
+    "(o_orderkey + 1)::BIGINT AS pos, o_orderkey::BIGINT AS value FROM orders)"
+)
 LATE_RUNS = (
     "(SELECT (user_id % 20)::INT AS run_id, (event_id + 1)::BIGINT AS pos, "
     "CASE WHEN event_type = 'error' THEN user_id END::BIGINT AS value FROM events)"

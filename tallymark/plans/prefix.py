@@ -60,6 +60,10 @@ STREAM_COLUMNS = (
 )
 
 
+#: Codes of a run are joined with its open checkpoints in 2**PART_BITS parts.
+PART_BITS = 6
+
+
 def first_in_interval(runs: DataFrame, checkpoints: Sequence[int]) -> DataFrame:
     """``run_id, value, ckpt``: first occurrences with the interval they fall into."""
     first = first_occurrences(runs)
@@ -247,12 +251,22 @@ def _prefix_format(grid: DataFrame, cell_rows: DataFrame, ks: Sequence[int]) ->
     open_points = grid.where(
         F.col("k").isin(*candidates) & is_open(F.col("n_codes"), F.col("k"))
     ).select(*at, "k")
-    points = open_points.select(*at).distinct().withColumnRenamed("ckpt", "point")
-    until = null_safe_join(
-        cell_rows.select("run_id", "hash_id", "ckpt", "idx", "rho"),
-        points,
-        ["run_id", "hash_id"],
-    ).where(F.col("ckpt") <= F.col("point"))
+    # A run's codes are dealt out by their leading bits, so that one long run is no single task,
+    # and those after its last open checkpoint are not looked at.
+    wanted = open_points.groupBy("run_id", "hash_id").agg(
+        F.collect_set("ckpt").alias("points"), F.max("ckpt").alias("last")
+    )
+    part = (F.col("idx") / F.lit(1 << (SPARSE_PRECISION - PART_BITS))).cast("int")
+    until = (
+        null_safe_join(
+            cell_rows.select("run_id", "hash_id", "ckpt", "idx", "rho", part.alias("part")),
+            wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((1 << PART_BITS) - 1)))),
+            ["run_id", "hash_id", "part"],
+        )
+        .where(F.col("ckpt") <= F.col("last"))
+        .withColumn("point", F.explode("points"))
+        .where(F.col("ckpt") <= F.col("point"))
+    )
     codes = until.groupBy("run_id", "hash_id", F.col("point").alias("ckpt"), "idx").agg(
         F.max("rho").alias("rho")
     )
