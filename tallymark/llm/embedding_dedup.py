@@ -26,8 +26,11 @@ from tallymark.llm.components import connected_components
 
 COSINE = 0.95
 MAX_PIVOTS = 64
-#: Vectors of a cell's block and of a chunk that it meets.
-BLOCK, CHUNK = 1024, 8192
+#: Vectors of a cell's block and of a chunk that it meets, fewer where both take more than so many
+#: bytes, and those of a block that are compared at once.
+BLOCK, CHUNK, TILE_BYTES, STRIP = 8192, 16384, 12 << 20, 512
+#: Members of a component are dealt into so many parts to learn its smallest id.
+LABEL_PARTS = 16
 #: A cosine this near the limit is computed again, with sums that do not depend on order.
 _DOUBT = 1e-9
 
@@ -100,7 +103,7 @@ class Cells:
         return home, nearest, near
 
 
-def _tile_links(home: np.ndarray, others: np.ndarray, cosine: float) -> np.ndarray:
+def _strip_links(home: np.ndarray, others: np.ndarray, cosine: float) -> np.ndarray:
     """Which pairs of rows are linked; doubtful ones are decided by the exact cosine."""
     found = _unit(home) @ _unit(others).T
     linked = found >= cosine
@@ -122,7 +125,7 @@ def _least_connected(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def _join_tile(size: int, cosine: float):
+def _join_tile(size: int, cosine: float, strip: int):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values(["visits", "node"], kind="stable")
         own = int((~tile["visits"]).sum())
@@ -131,14 +134,21 @@ def _join_tile(size: int, cosine: float):
         rows = np.frombuffer(b"".join(tile["vector"]), dtype="<f8").reshape(-1, size)
         weight = tile["weight"].to_numpy()
         first = 0 if tile["chunk"].iloc[0] == 0 else own  # a block meets itself once
-        left, right = np.nonzero(_tile_links(rows[:own], rows[first:], cosine))
-        right = right + first
-        once = (right >= own) | (left < right)
-        left, right = left[once], right[once]
         n = len(rows)
-        count = np.bincount(left, weights=weight[right], minlength=n)
-        count += np.bincount(right, weights=weight[left], minlength=n)
-        nodes, label = tile["node"].to_numpy(), _least_connected(n, left, right)
+        count, label = np.zeros(n), np.arange(n)
+        for start in range(0, own, strip):
+            # every pair in one strip: a block's own rows only meet those behind them
+            behind = max(first, start)
+            left, right = np.nonzero(_strip_links(rows[start : min(start + strip, own)], rows[behind:], cosine))
+            left, right = left + start, right + behind
+            once = (right >= own) | (left < right)
+            left, right = left[once], right[once]
+            count += np.bincount(left, weights=weight[right], minlength=n)
+            count += np.bincount(right, weights=weight[left], minlength=n)
+            # the forest so far is part of the links of the next strip
+            tree = np.flatnonzero(label != np.arange(n))
+            label = _least_connected(n, np.concatenate((left, tree)), np.concatenate((right, label[tree])))
+        nodes = tile["node"].to_numpy()
         touched, edges = np.flatnonzero(count), np.flatnonzero(label != np.arange(n))
         return pd.DataFrame({
             "node": np.concatenate((nodes[touched], nodes[edges])),
@@ -181,8 +191,10 @@ def _tiles(points: DataFrame, size: int, cosine: float, max_pivots: int) -> Data
     n = points.count()
     pivots = max(1, min(max_pivots, math.isqrt(n) // 12))
     cells, own, visits = _cells_of(points, size, cosine, pivots)
-    blocks = [max(1, -(-count // BLOCK)) for count in own]
-    chunks = [max(1, -(-(count + more) // CHUNK)) for count, more in zip(own, visits)]
+    fit = min(1.0, TILE_BYTES / (8 * size * (BLOCK + CHUNK)))
+    block_rows, chunk_rows = max(1, int(BLOCK * fit)), max(1, int(CHUNK * fit))
+    blocks = [max(1, -(-count // block_rows)) for count in own]
+    chunks = [max(1, -(-(count + more) // chunk_rows)) for count, more in zip(own, visits)]
 
     def deal(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -214,7 +226,7 @@ def _tiles(points: DataFrame, size: int, cosine: float, max_pivots: int) -> Data
         "cell int, block int, chunk int, visits boolean, node binary, vector binary, weight bigint",
     )
     return dealt.groupBy("cell", "block", "chunk").applyInPandas(
-        _join_tile(size, cosine), "node binary, other binary, links bigint"
+        _join_tile(size, cosine, STRIP), "node binary, other binary, links bigint"
     )
 
 
@@ -263,10 +275,15 @@ def near_vectors(
     whole = whole.select(
         "node", "id",
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-        F.coalesce("label", "node").alias("label"),
+        "label",
     )
-    least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
-    known = whole.join(least, "label").select("node", "n_links", "component_id")
+    # A point without links is a component; the members of the others meet its least id in parts.
+    part = F.pmod(F.xxhash64("node"), F.lit(LABEL_PARTS)).cast("int")
+    alone = whole.where("label IS NULL").select("node", "n_links", F.col("id").alias("component_id"))
+    linked = whole.where("label IS NOT NULL").withColumn("part", part)
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(LABEL_PARTS - 1)))
+    least = linked.groupBy("label").agg(F.min("id").alias("component_id")).withColumn("part", every_part)
+    known = linked.join(least, ["label", "part"]).select("node", "n_links", "component_id").unionByName(alone)
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return (
         rows.select("id", "node")

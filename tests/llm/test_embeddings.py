@@ -61,6 +61,18 @@ def test_links_and_groups_are_those_of_all_pairs(spark, monkeypatch, block, chun
     assert found(frame) == brute_force(rows, 0.95)
 
 
+@pytest.mark.parametrize("strip, tile_bytes", [(7, 12 << 20), (512, 2048), (5, 16384)])
+def test_strips_and_small_tiles_lose_nothing(spark, monkeypatch, strip, tile_bytes):
+    monkeypatch.setattr(embedding_dedup, "STRIP", strip)
+    monkeypatch.setattr(embedding_dedup, "TILE_BYTES", tile_bytes)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 60)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 100)
+    monkeypatch.setattr(math, "isqrt", lambda n: 36)  # three pivots
+    rows = clustered(strip, n=300)
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    assert found(frame) == brute_force(rows, 0.95)
+
+
 def test_odd_vectors(spark):
     from pyspark.sql import functions as F
 
