@@ -125,6 +125,22 @@ def test_a_full_filter_leaves_out_the_rarest():
     assert plan_filter({}, 1).segment_bits == 64
 
 
+def test_a_filter_in_segments_keeps_all_levels(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "ENTRY_BITS", 60)
+    monkeypatch.setattr(bloom_lm, "SEGMENT_BITS", 1 << 12)
+    monkeypatch.setattr(bloom_lm, "ASKING_BYTES", 256)
+    monkeypatch.setattr(bloom_lm, "SCORED_BYTES", 1 << 12)
+    monkeypatch.setattr(bloom_lm, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(bloom_lm, "_SLICE", 16)
+    monkeypatch.setattr(bloom_lm, "_TOGETHER", 64)
+    rows = [*random_rows(7), (500, None), (None, "the cat"), (None, "the cat"), (501, "")]
+    # far less than the entries take
+    compare(score_documents(docs_of(rows), order=3, max_bits=64), plain_scores(rows, 3), 1e-3)
+    model, _, parts = bloom_lm.learn_bloom_lm(docs_of(rows).select("text"), 2, 64)
+    assert model.bloom.least == 1 and model.bloom.bits is None and parts is not None
+    assert model.bloom.segments > 4 and model.bloom.segment_bits <= 1 << 12
+
+
 def test_held_out_texts_are_better_foreseen_than_by_single_words(spark, sf_dir):
     got = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas()
     held_out = got[got.held_out]
