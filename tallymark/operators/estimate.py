@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions import bits as b
 from tallymark.functions import estimators as e
 from tallymark.functions.bias import BiasPoints, subtract_bias
 from tallymark.functions.bits import SPARSE_PRECISION
 from tallymark.functions.local import local_frame
-from tallymark.operators.cells import BITMAP_LEVEL, cells, levels, summarize
+from tallymark.operators.cells import BITMAP_LEVEL, cells, hashed_rows, levels, summarize
 from tallymark.operators.exact import exact_distinct
 from tallymark.operators.sparse import (
     LEAST_LEVEL,
@@ -146,7 +147,7 @@ def distinct_estimates(
 
     ``mode`` concerns HyperLogLog++ only.  ``dense`` always uses registers and shuffles at
     most 2**k rows per key and task.  ``sparse`` always counts codes, up to 2**25 per key, and
-    so shuffles about as much as an exact distinct count.  ``auto`` applies the
+    so shuffles about as much as an exact distinct count; other algorithms read the rows once more.  ``auto`` applies the
     sparse-or-dense rule in two phases: registers first, then a second reading of the rows for
     the codes of keys that the registers do not prove to be dense.
     """
@@ -155,8 +156,12 @@ def distinct_estimates(
         raise ValueError("nothing to estimate: the list of specs is empty")
     counted = [s for s in specs if s.algo != "naive"]
     parts = []
-    if counted:
-        parts.append(_sketch_estimates(df, keys, value, counted, mode, bias_points))
+    listed = [s for s in counted if s.algo == "hllpp"] if mode == "sparse" else []
+    if listed:
+        parts.append(_code_estimates(df, keys, value, listed))
+    others = [s for s in counted if s not in listed]
+    if others:
+        parts.append(_sketch_estimates(df, keys, value, others, mode, bias_points))
     if len(counted) < len(specs):
         exact = exact_distinct(df, keys, value, "estimate")
         parts.append(
@@ -169,7 +174,23 @@ def distinct_estimates(
                 "estimate",
             )
         )
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _code_estimates(df, keys, value, specs) -> DataFrame:
+    """Sparse estimates: only the number of codes counts, so no register is made of them."""
+    group = [*keys, "hash_id"]
+    rows = hashed_rows(df, keys, value, list(hash_ids(specs)))
+    codes = rows.select(*group, b.register_idx(F.col("h"), SPARSE_PRECISION).alias("idx")).distinct()
+    summary = codes.groupBy(*group).agg(F.count(F.lit(1)).alias("n_codes"))
+    ks = sorted({s.k for s in specs})
+    rows = attach_specs(summary.withColumn("k", F.explode(F.array(*map(F.lit, ks)))), specs)
+    return estimate_rows(rows, ["hllpp"], ks, "sparse").select(
+        *keys, F.col("algo").alias("algorithm"), "params", "hash", "hash_seed", "estimate"
+    )
 
 
 def _sketch_estimates(df, keys, value, specs, mode, bias_points) -> DataFrame:
@@ -190,10 +211,6 @@ def _sketch_estimates(df, keys, value, specs, mode, bias_points) -> DataFrame:
         settled = settled_keys(summary, keys, len(hashes), k_from, max(listed))
         codes = cells(without_settled(df, keys, settled), keys, value, hashes, SPARSE_PRECISION)
         summary = with_open_format(summary, codes, group, sorted(set(listed)))
-    elif k_from == SPARSE_PRECISION:
-        is_codes = F.col("k") == SPARSE_PRECISION
-        n_codes = F.max(F.when(is_codes, F.col("occupied"))).over(Window.partitionBy(*group))
-        summary = summary.withColumn("n_codes", n_codes).where(~is_codes)
     rows = attach_specs(summary, specs)
     estimated = estimate_rows(rows, [s.algo for s in specs], ks, mode, bias_points)
     return estimated.select(

@@ -48,6 +48,23 @@ def test_a_sweep_reads_the_data_once(lines):
     assert text.count("FileScan") == 1 and "Cartesian" not in text and "NestedLoop" not in text
 
 
+def test_sparse_mode_makes_no_registers_of_codes(lines):
+    """A task holds each of its codes once, not once more as a register and once more per merge."""
+    text = plan(distinct_estimates(lines, ["l_suppkey"], "l_orderkey", [sketch("hllpp", 14)], "sparse"))
+    assert "__coarsest" not in text and "Window" not in text and "rho" not in text
+    assert text.count("Exchange hashpartitioning") == 2 and text.count("HashAggregate") == 4
+
+    # other algorithms keep their own precision
+    specs = [sketch("hllpp", 9), sketch("hllpp", 14), sketch("ll", 6), sketch("pc", l=9)]
+    both = distinct_estimates(lines, ["l_returnflag"], "l_orderkey", specs, "sparse")
+    apart = [
+        row
+        for spec in specs
+        for row in distinct_estimates(lines, ["l_returnflag"], "l_orderkey", [spec], "sparse").collect()
+    ]
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart))
+
+
 def test_auto_mode_fetches_codes_of_open_keys_only(spark):
     """The registers settle the large keys, so their codes are neither shuffled nor counted."""
     rows = spark.range(0, 60_000, 1, 8).select(
