@@ -748,12 +748,15 @@ def mrg12(spark, sf_dir):
     """One stored sketch table answers every coarser key."""
     spec = sketch("hll", 10)
     base = sketches.build_sketches(lines(spark, sf_dir), ["l_suppkey"], "l_orderkey", spec)
+    tens = sketches.merge_sketches(
+        base.withColumn("ten", F.expr("l_suppkey div 10")), ["ten"], verify=False, combine=False
+    )
     keys = F.array(
-        F.struct(F.lit("ten").alias("level"), F.expr("l_suppkey div 10").alias("key")),
-        F.struct(F.lit("fifty").alias("level"), F.expr("l_suppkey div 50").alias("key")),
+        F.struct(F.lit("ten").alias("level"), F.col("ten").alias("key")),
+        F.struct(F.lit("fifty").alias("level"), F.expr("ten div 5").alias("key")),
         F.struct(F.lit("every").alias("level"), F.lit(0).cast("bigint").alias("key")),
     )
-    unfolded = base.select(F.inline(keys), *sketches.IDENTITY, "idx", "rho")
+    unfolded = tens.select(F.inline(keys), *sketches.IDENTITY, "idx", "rho")
     merged = sketches.merge_sketches(unfolded, ["level", "key"], verify=False)
     rows = sketches.estimate_sketches(merged, ["level", "key"], "dense", [10], ["hll"])
     return rows.select("level", "key", "estimate")

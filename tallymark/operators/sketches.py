@@ -110,15 +110,21 @@ def incompatible_groups(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def merge_sketches(sketches: DataFrame, by: Sequence[str], verify: bool = True) -> DataFrame:
+def merge_sketches(
+    sketches: DataFrame, by: Sequence[str], verify: bool = True, combine: bool = True
+) -> DataFrame:
     """Union of all sketches that share ``by``: a maximum per register.
 
     ``by`` may be any subset of the key columns or expressions over them, so this is also
     the roll-up of a stored sketch table to a coarser key.  With ``verify`` a group that
     mixes algorithms, hashes, seeds or parameters makes the query fail; the check is one
     scalar read from the merged rows, whose shuffle both then share.  ``verify=False`` keeps
-    such sketches apart, as the identity stays part of the key.
+    such sketches apart, as the identity stays part of the key.  ``combine=False`` shuffles the
+    rows as they are: where few sketches meet in one, tasks hardly combine any before, and
+    tables of nearly all their rows would take much memory.
     """
+    if not combine:
+        sketches = sketches.repartition(*by, "idx")
     merged = sketches.groupBy(*by, *IDENTITY, "idx").agg(F.max("rho").alias("rho"))
     if not verify:
         return merged

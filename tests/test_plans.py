@@ -1,8 +1,12 @@
 """What the plans have to look like to hold at scale."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+import checks.sketch_queries  # noqa: F401
+from checks.registry import QUERIES
 from tallymark.functions.hashing import resolve_hash
 from tallymark.operators.cells import cells, levels, summarize
 from tallymark.operators.estimate import distinct_estimates
@@ -178,6 +182,14 @@ def test_evaluations_of_many_hashes_read_the_rows_once(order_runs):
     assert text.count("FileScan") == 1 and text.count("ReusedExchange") >= 3
 
 
+def test_rollup_does_not_merge_beside_the_building(spark, sf_dir):
+    """Sketches of neighbours hardly meet in the tasks that built them: rows go on as they are."""
+    # from the scan: cells by register (two aggregates), then a shuffle, before anything is merged or unfolded
+    above = plan(QUERIES["mrg12_rollup"](spark, sf_dir)).split("FileScan")[0]
+    steps = re.findall(r"\b(HashAggregate|Exchange|Generate inline)", above)[::-1]
+    assert steps[:4] == ["HashAggregate", "Exchange", "HashAggregate", "Exchange"]
+
+
 def test_verified_merge_builds_its_sketches_once(lines):
     sketches = build_sketches(lines, ["l_returnflag", "l_linestatus"], "l_orderkey", sketch("hllpp", 12))
     frame = estimate_sketches(merge_sketches(sketches, ["l_returnflag"]), ["l_returnflag"], "dense", ks=[12])
